@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -187,6 +188,18 @@ def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     return rows.mapInArrow(run, f"key {kind}, score double, predicted int").withColumnRenamed("key", key)
 
 
+def judged(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs`, all columns, with score and predicted beside them; nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in texts:
+            yield some.map(lambda t: sent.value.score(t)).astype(float)
+
+    score = F.pandas_udf(run, "double")(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fits outside the held-out fold and scores every document."""
     model = fit_tables(docs, labels, fold("doc_id", FOLDS) != HELD)
