@@ -102,3 +102,22 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         F.col("key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"), likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
     )
+
+
+def fingerprints_sql(window: int = WINDOW) -> str:
+    """DuckDB SQL for distinct ids: the same tree in list functions."""
+    tree = lambda t: f"list_transform(string_split({t}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '(?s).{{1,{window}}}'), lambda x: md5(x))))"
+    joined = lambda x: f"coalesce(array_to_string({x}, ''), '')"
+    top = lambda t: f"md5({joined(f'list_transform({t}, lambda s: md5({joined(f'list_transform(s, lambda p: md5({joined('p')}))')}))')})"
+    leaves = lambda t: f"list_distinct(flatten(flatten({t})))"
+    alike = lambda a, b: f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE len(list_intersect({a}, {b})) / CAST(len({a}) + len({b}) - len(list_intersect({a}, {b})) AS DOUBLE) END"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nt FROM d),
+e AS (SELECT doc_id, t, nt, substr(t, 1, length(t) - length(t) // 4) || substr(nt, 1, length(t) // 4) AS et FROM n),
+h AS (SELECT doc_id, length(t) AS n_chars, sha256(et) AS edited_sha256, {tree('t')} AS a, {tree('et')} AS b, {tree('nt')} AS c FROM e),
+l AS (SELECT doc_id, n_chars, edited_sha256, {top('a')} AS fingerprint, {top('b')} AS edited_fingerprint,
+             {leaves('a')} AS la, {leaves('b')} AS lb, {leaves('c')} AS lc FROM h)
+SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
+       CAST({alike('la', 'lb')} AS DOUBLE) AS near_edited, CAST({alike('la', 'lc')} AS DOUBLE) AS near_next FROM l
+"""

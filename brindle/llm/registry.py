@@ -65,5 +65,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_sharding": sharding.shards_sql(),
+        "op4_fingerprints": fingerprints.fingerprints_sql(),
         "op8_exact_dedup": exact_dedup.DEDUP_SQL,
     }

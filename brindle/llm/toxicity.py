@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentences scored, documents labelled.
 
 A sentence's probability is the logistic of a bias and the weights of its distinct words;
-a word's weight is that of the word itself and of its first 4, 5 and 6 letters, so that
+a word's weight is that of the word itself and of its first 3 to 7 letters, so that
 inflected forms share what was learned. A document's probability is the noisy-or of its
 sentences, 1 - prod(1 - p). The weights maximise the likelihood of the document labels
 through that noisy-or; no sentence is ever labelled. Scoring then gives the document's
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,11 +33,14 @@ from brindle.llm.labelled import fold, sample
 
 PER_CLASS = 4000
 MOST_CHARS = 20_000
-MOST_FEATURES = 1 << 17
+MOST_FEATURES = 1 << 16
 LEAST_DOCS = 3
-STEPS = 150
-RATE = 0.25
-L2 = 2e-5
+#: Likelihood-ratio statistic of a word's part and the label, from which the part is learned.
+LEAST_G = 18.0
+STEPS = 200
+RATE = 0.05
+L2 = 1e-6
+START, START_BIAS = 1.6, 7.0
 #: Words remembered by a worker before its memory of them starts anew.
 MEMORY = 300_000
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -46,7 +50,7 @@ FOLDS = 5
 
 def parts(word: str) -> list[str]:
     """The features of a word: itself and its beginnings."""
-    return [word, *(f"{word[:n]}~" for n in (4, 5, 6) if len(word) > n)]
+    return [word, *(f"{word[:n]}~" for n in (3, 4, 5, 6, 7) if len(word) > n)]
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -94,26 +98,47 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> NoisyOr:
     if len(set(y.tolist())) < 2:
         return NoisyOr({}, -50.0)
     words: dict[str, int] = {}
-    owner, nnz_word, nnz_sentence = [], [], []
+    owner, nnz_word, nnz_sentence = array("q"), array("q"), array("q")
     for d, text in enumerate(texts):
         for m in SENTENCE.finditer(text):
             if own := set(WORD.findall(m.group().lower())):
-                nnz_word += [words.setdefault(w, len(words)) for w in sorted(own)]
-                nnz_sentence += [len(owner)] * len(own)
+                nnz_word.extend(words.setdefault(w, len(words)) for w in sorted(own))
+                nnz_sentence.extend([len(owner)] * len(own))
                 owner.append(d)
     owner, nnz_word, nnz_sentence = (np.array(x, np.int64) for x in (owner, nnz_word, nnz_sentence))
-    by_word = [parts(w) for w in words]
-    pairs = np.unique(np.stack([owner[nnz_sentence], nnz_word]), axis=1)[1]
-    docs_with: Counter = Counter()
-    for w, n in enumerate(np.bincount(pairs, minlength=len(words))):
-        for p in by_word[w]:
-            docs_with[p] += int(n)
-    names = sorted((p for p, n in docs_with.items() if n >= LEAST_DOCS), key=lambda p: (-docs_with[p], p))[:MOST_FEATURES]
-    number = {p: i for i, p in enumerate(names)}
-    part_of, part = (np.array(x, np.int64) for x in zip(*((w, number[p]) for w, ps in enumerate(by_word) for p in ps if p in number), strict=True))
+    # What documents have each part of a word, by label; parts that tell the labels apart are learned.
+    pairs = np.unique(np.stack([owner[nnz_sentence], nnz_word]), axis=1)
+    listed, toxic = list(words), y[pairs[0]] == 1
+    with_part: tuple[Counter, Counter] = Counter(), Counter()
+    for of_label, at in zip(with_part, (pairs[1][~toxic], pairs[1][toxic]), strict=True):
+        for w, n in zip(*np.unique(at, return_counts=True), strict=True):
+            for p in parts(listed[w]):
+                of_label[p] += int(n)
+    del pairs
+    mean, n_toxic = float((y == 1).mean()), int((y == 1).sum())
+    chosen = []
+    for p, a in with_part[1].items():
+        b = with_part[0][p]
+        n = a + b
+        g = 2 * (a * math.log(a / (n * mean)) + (b * math.log(b / (n * (1 - mean))) if b else 0))
+        if a > n * mean and n >= LEAST_DOCS and g >= LEAST_G:
+            odds = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (len(y) - n_toxic + 1))
+            chosen.append((-g, p, odds))
+    chosen = sorted(chosen)[:MOST_FEATURES]
+    number, odds = {p: i for i, (_, p, _) in enumerate(chosen)}, np.array([o for *_, o in chosen])
+    names = list(number)
+    del with_part, chosen
+    part_of, part = array("q"), array("q")
+    for w, word in enumerate(listed):
+        own = [number[p] for p in parts(word) if p in number]
+        part.extend(own)
+        part_of.extend([w] * len(own))
+    part_of, part = np.array(part_of, np.int64), np.array(part, np.int64)
     n_words, n_docs, n_features = len(words), len(texts), len(names)
-    w, bias = np.zeros(n_features + 1), -4.0
-    w[-1] = bias
+    # A word starts with the mean log odds of its parts and no word alone is near the bias.
+    per_word = np.bincount(part_of, minlength=n_words)
+    shared = np.bincount(part, 1 / per_word[part_of], minlength=n_features) / np.maximum(np.bincount(part, minlength=n_features), 1)
+    w = np.append(odds * shared * START, -START_BIAS)
     m1, m2 = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
         of_word = np.bincount(part_of, w[part], minlength=n_words)
