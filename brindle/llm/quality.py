@@ -135,23 +135,36 @@ def logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
     return max(a, 1e-3), b
 
 
+def common_features(texts: list[str]) -> dict:
+    """The features of at least LEAST_DOCS texts, the commonest if they are too many, numbered.
+
+    Their hashes are counted first, so only features that are kept are held as objects.
+    """
+    hashes = np.concatenate([np.fromiter(map(hash, f), np.int64, len(f)) for f in map(features, texts)])
+    hashes, docs_with = np.unique(hashes, return_counts=True)
+    hashes, docs_with = hashes[docs_with >= LEAST_DOCS], docs_with[docs_with >= LEAST_DOCS]
+    if len(hashes) > MOST_FEATURES:
+        at_most = np.sort(docs_with)[-MOST_FEATURES]
+        hashes = hashes[docs_with > at_most]  # ties at the border all go, whatever the order
+    wanted, number = set(hashes.tolist()), {}
+    for t in texts:
+        for f in sorted((f for f in features(t) if hash(f) in wanted), key=str):
+            number.setdefault(f, len(number))
+    return number
+
+
 def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
     if len(set(y.tolist())) < 2:
         mean = float(np.mean(y)) if len(y) else 0.5
         odds = min(max(mean, 1e-6), 1 - 1e-6)
         return Model({}, 0.0, 1.0, math.log(odds / (1 - odds)))
-    held = [features(t) for t in texts]
-    docs_with: Counter = Counter()
-    for x in held:
-        docs_with.update(x)
-    names = sorted((f for f, n in docs_with.items() if n >= LEAST_DOCS), key=lambda f: (-docs_with[f], str(f)))[:MOST_FEATURES]
-    number = {f: i for i, f in enumerate(names)}
-    rows = [np.array(sorted(number[f] for f in x if f in number), np.int64) for x in held]
-    del held, docs_with
+    number = common_features(texts)
+    rows = [np.array(sorted(number[f] for f in features(t) if f in number), np.int32) for t in texts]
+    names = list(number)
     sign = np.where(y == 1, 1.0, -1.0)
 
     def trained(part: np.ndarray) -> tuple[np.ndarray, float]:
-        count = {c: np.bincount(np.concatenate([rows[i] for i in part if y[i] == c] or [np.empty(0, np.int64)]), minlength=len(names)) + ALPHA for c in (0, 1)}
+        count = {c: np.bincount(np.concatenate([rows[i] for i in part if y[i] == c] or [np.empty(0, np.int32)]), minlength=len(names)) + ALPHA for c in (0, 1)}
         ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
         w, bias = hinge_by_dual([rows[i] for i in part], ratio, sign[part], C * weight[part])
         return w * ratio, bias
