@@ -11,7 +11,8 @@ their HTTP head and no payload.
 
 Archives are written by Spark's text writer (a record is a row of bytes; its separator is
 the one the format asks for), so commits and retries are Spark's, and read as whole files
-whose records are parsed as a stream. A file holds what one task wrote.
+whose records are parsed as a stream. A file holds what one task
+read, so its size follows spark.sql.files.maxPartitionBytes.
 
 Nulls: a null payload counts as empty; a null id is written as "-" and read as null; a
 null url is written as "unknown:-". White space in a url is percent-encoded. Repeated
@@ -179,15 +180,15 @@ def record_id(archive: str, offset: int) -> str:
 
 
 _RECORD = T.StructType([
-    T.StructField("record_id", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("kind", T.StringType()),
+    T.StructField("archive", T.StringType()), T.StructField("record_id", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("kind", T.StringType()),
     T.StructField("url", T.StringType()), T.StructField("ip", T.StringType()), T.StructField("date", T.StringType()), T.StructField("content_type", T.StringType()),
     T.StructField("head", T.BinaryType()), T.StructField("payload", T.BinaryType()), T.StructField("payload_digest", T.StringType()), T.StructField("payload_bytes", T.LongType()),
 ])
 _ARROW = pa.schema([
-    ("record_id", pa.string()), ("doc_id", pa.int64()), ("kind", pa.string()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("content_type", pa.string()),
+    ("archive", pa.string()), ("record_id", pa.string()), ("doc_id", pa.int64()), ("kind", pa.string()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("content_type", pa.string()),
     ("head", pa.binary()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()),
 ])
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 4 << 20
 
 
 def _emitted(rows: Iterator[tuple], schema: pa.Schema, size_of) -> Iterator[pa.RecordBatch]:
@@ -212,24 +213,26 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
 
 
+def _equivalents(path: str, content: bytes) -> Iterator[dict]:
+    """What the WARC equivalent of each record of an ARC file needs."""
+    archive = path.rpartition("/")[2]
+    for r in read_arc(content):
+        url = r.fields["URL"]
+        head, payload = split_http(url, r.block)
+        yield {
+            "archive": archive, "record_id": record_id(archive, r.offset), "doc_id": _doc_id(head), "kind": "response" if head else "resource", "url": url,
+            "ip": r.fields["IP-address"], "date": warc_date(r.fields["Archive-date"]), "content_type": r.fields["Content-type"], "head": head, "payload": payload,
+            "payload_digest": base32_sha1(payload), "payload_bytes": len(payload),
+        }
+
+
 def arc_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Every record of the ARC files at a path, with what its WARC equivalent needs."""
+    """Every record of the ARC files at a path; without payloads, those are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                for p, content in zip(batch.column(0), batch.column(1), strict=True):
-                    archive = p.as_py().rpartition("/")[2]
-                    for r in read_arc(content.as_py()):
-                        url = r.fields["URL"]
-                        head, payload = split_http(url, r.block)
-                        kind = "response" if head else "resource"
-                        yield (
-                            record_id(archive, r.offset), _doc_id(head), kind, url, r.fields["IP-address"], warc_date(r.fields["Archive-date"]), r.fields["Content-type"],
-                            head, payload if payloads else None, base32_sha1(payload), len(payload),
-                        )
-
-        yield from _emitted(rows(), _ARROW, lambda r: len(r[8] or b""))
+        found = (r for batch in batches for p, c in zip(*batch.columns, strict=True) for r in _equivalents(p.as_py(), c.as_py()))
+        rows = (tuple(None if n == "payload" and not payloads else r[n] for n in _ARROW.names) for r in found)
+        yield from _emitted(rows, _ARROW, lambda r: len(r[9] or b""))
 
     return _files(spark, path).mapInArrow(run, _RECORD)
 
@@ -278,26 +281,28 @@ def warc_record(r: dict, refers: tuple[str, str, str] | None) -> bytes:
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 0) -> None:
     """ARC files to WARC files, with revisits for repeated payloads."""
-    brief = saved(arc_records(spark, arc_path, payloads=False).select("record_id", "doc_id", "url", "date", "payload_digest", "payload_bytes"), "arc")
+    brief = saved(arc_records(spark, arc_path, payloads=False).select("archive", "record_id", "doc_id", "url", "date", "payload_digest", "payload_bytes"), "arc")
     best = F.max_by(F.struct("record_id", "url", "date"), F.struct(F.col("doc_id").isNotNull(), "doc_id", "record_id"))
     winners = saved(brief.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes").agg(best.alias("w"), F.count("*").alias("n")).where("n > 1").drop("n"), "winners")
-    refers = brief.join(winners, ["payload_digest", "payload_bytes"]).where("record_id != w.record_id").select("record_id", "w")
-    records = arc_records(spark, arc_path).join(saved(refers, "refers"), "record_id", "left")
+    refers = brief.join(winners, ["payload_digest", "payload_bytes"]).where("record_id != w.record_id")
+    # What an archive's own records refer to: as many as it has records at most.
+    of_archive = saved(refers.groupBy("archive").agg(F.collect_list(F.struct("record_id", "w")).alias("refers")), "refers")
+    files = _files(spark, arc_path).withColumn("archive", F.substring_index("path", "/", -1)).join(of_archive, "archive", "left").select("path", "content", "refers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             info = b"software: brindle\r\nformat: WARC File Format 1.1\r\n"
-            name = record_id(f"{arc_path}/{TaskContext.get().partitionId()}", 0)
+            name = record_id(f"{warc_path}/{TaskContext.get().partitionId()}", 0)
             yield ("\r\n".join(["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <{name}>", "WARC-Date: 2005-01-01T00:00:00Z", "Content-Type: application/warc-fields", f"Content-Length: {len(info)}"]).encode() + b"\r\n\r\n" + info,)
             for batch in batches:
-                for i in range(batch.num_rows):
-                    r = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
-                    w = r["w"]
-                    yield (warc_record(r, w and (w["record_id"], w["url"], w["date"])),)
+                for path, content, refers in zip(*batch.columns, strict=True):
+                    own = {x["record_id"]: (x["w"]["record_id"], x["w"]["url"], x["w"]["date"]) for x in refers.as_py() or ()}
+                    for r in _equivalents(path.as_py(), content.as_py()):
+                        yield (warc_record(r, own.get(r["record_id"])),)
 
         yield from _emitted(rows(), pa.schema([("value", pa.binary())]), lambda r: len(r[0]))
 
-    _write_rows(records.mapInArrow(run, "value binary"), warc_path, "\r\n\r\n")
+    _write_rows(files.mapInArrow(run, "value binary"), warc_path, "\r\n\r\n")
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
