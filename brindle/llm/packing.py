@@ -14,8 +14,12 @@ Repeated rows are packed each. An empty table gives no rows. Other columns are i
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,54 +31,93 @@ from brindle.sources.tables import saved
 
 CAPACITY = 4096
 END_ID = 1
-#: Chunks whose ids a worker remembers, before it starts anew.
+#: Words whose ids a worker remembers, before it starts anew, and of which length at most.
 MEMORY = 250_000
-#: Longer chunks are encoded each time rather than remembered.
 REMEMBERED = 64
-#: Chunks are parted by white space that the tokenizer's own normaliser drops; no token spans it.
-_CHUNK = re.compile(r"[^ \t\n\r]+")
-
-
-class ChunkEncoder:
-    """Ids of a tokenizer that drops white space and never joins across it, chunk by chunk."""
+_SPACE = " \t\n\r"
+#: Characters for which the tokenizer's normaliser and splitter are known to be what is
+#: done here: printable ASCII and the Latin letters and signs up to U+017F, but for one
+#: capital whose lower case is two characters. None of them composes with another.
+_PLAIN = "".join(chr(c) for c in (*range(0x20, 0x7F), *range(0xA1, 0x180)) if c != 0x130) + _SPACE
+_LETTERS = "".join(c for c in _PLAIN if unicodedata.category(c)[0] == "L")
+_NUMBERS = "".join(c for c in _PLAIN if unicodedata.category(c)[0] == "N")
+_OTHER = re.compile(f"[^{re.escape(_PLAIN)}]")
+_CHUNK = re.compile(f"[^{_SPACE}]+")
+_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
+#: Stands for the end of a word; no byte of UTF-8.
+_END = b"\xff"
+
+
+class _Remembered(dict):
+    """Ids of words as bytes, made when first asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(word) <= REMEMBERED:
+            self[word] = ids
+        return ids
+
+
+class WordEncoder:
+    """Ids of a lower-casing BPE whose words carry an end mark and whose merges follow their ids.
+
+    White space parts words and is dropped, so a text is encoded word by word. Words of
+    plain characters are merged by the vocabulary's ranks; any chunk with another
+    character goes through the tokenizer itself.
+    """
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        model = json.loads(self.tokenizer.to_str())["model"]
+        end = model["end_of_word_suffix"]
+        byte_of = {c: b for b, c in _byte_letters().items()}
+        ranks = {}
+        for token, i in model["vocab"].items():
+            body, mark = (token[: -len(end)], _END) if token.endswith(end) else (token, b"")
+            if all(c in byte_of for c in body):
+                ranks[bytes(byte_of[c] for c in body) + mark] = i
+        ranks.setdefault(_END, len(model["vocab"]))
+        merge = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.words = _Remembered(lambda w: array("I", merge(w.encode() + _END)).tobytes())
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        chunks = _CHUNK.findall(text)
-        known = self.known
-        if new := [c for c in set(chunks) if c not in known]:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(set(chunks))
-            for i in range(0, len(new), 4096):
-                some = new[i : i + 4096]
-                for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[c] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join(map(known.__getitem__, chunks))
-        for c in new:
-            if len(c) > REMEMBERED:
-                del known[c]
-        return out
-
-
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def encoder_for(path: str) -> ChunkEncoder:
+        if len(self.words) > MEMORY:
+            self.words.clear()
+        if _OTHER.search(text) is None:
+            return b"".join(map(self.words.__getitem__, _WORD.findall(text.lower())))
+        out = []
+        for chunk in _CHUNK.findall(text):
+            if _OTHER.search(chunk) is None:
+                out += map(self.words.__getitem__, _WORD.findall(chunk.lower()))
+            else:
+                out.append(np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
+        return b"".join(out)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is printable, else the next from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
     """This worker's encoder; tasks that follow find it warm."""
     if path not in _encoders:
         _encoders.clear()
-        _encoders[path] = ChunkEncoder(path)
+        _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
 
@@ -162,58 +205,42 @@ def bin_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     return plan
 
 
-class Places:
-    """Sequence and offset from a piece's length and its number among pieces of that length."""
-
-    def __init__(self, plan: list[tuple[int, list[tuple[int, int]]]]):
-        rows: dict[int, list[tuple[int, int, int, int]]] = {}
-        begun: dict[int, int] = {}
-        sequence = 0
-        for times, combination in plan:
-            offset = 0
-            for length, k in combination:
-                at = begun.get(length, 0)
-                rows.setdefault(length, []).append((at, k, sequence, offset))
-                begun[length] = at + k * times
-                offset += k * length
-            sequence += times
-        self.bins = sequence
-        self.rows = {n: np.array(r, np.int64).T for n, r in rows.items()}
-
-    def find(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sequence, offset = np.empty_like(number), np.empty_like(number)
-        for n in np.unique(length):
-            at = np.flatnonzero(length == n)
-            start, k, first, place = self.rows[int(n)]
-            i = np.searchsorted(start, number[at], "right") - 1
-            rest = number[at] - start[i]
-            sequence[at] = first[i] + rest // k[i]
-            offset[at] = place[i] + rest % k[i] * n
-        return sequence, offset
+def plan_rows(plan: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Where the pieces of each length go: (length, first number, number after the last, how many in a bin, first bin, offset)."""
+    rows, begun, sequence = [], {}, 0
+    for times, combination in plan:
+        offset = 0
+        for length, k in combination:
+            at = begun.get(length, 0)
+            begun[length] = at + k * times
+            rows.append((length, at, begun[length], k, sequence, offset))
+            offset += k * length
+        sequence += times
+    return rows
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of `cut` (saved; with key, piece, length) with sequence_id and offset."""
-    counted = cut.withColumn("salt", F.pmod(F.xxhash64("key", "piece"), F.lit(64 if cut.count() < 10_000_000 else 4096)))
-    sizes = saved(counted.groupBy("length", "salt").agg(F.count("*").alias("n")), "sizes")
+    """The pieces of `cut` (saved; with key, piece, length) with sequence_id and offset.
+
+    Pieces of one length are dealt to salts, counted, and numbered within a salt from
+    what the salts before it hold, so no task sees all pieces of a length.
+    """
+    spark = cut.sparkSession
+    salted = cut.withColumn("__salt", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(64 if cut.count() < 10_000_000 else 4096)))
+    sizes = saved(salted.groupBy("length", "__salt").agg(F.count("*").alias("n")), "sizes")
     # At most `capacity` rows come to the driver.
     counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy("length", "salt").orderBy("key", "piece", "ids_crc32")
-    numbered = counted.withColumn("n", F.row_number().over(within)).join(bases, ["length", "salt"])
-    numbered = numbered.select(*cut.columns, (F.col("base") + F.col("n") - 1).alias("number"))
-    places = cut.sparkSession.sparkContext.broadcast(Places(bin_plan(counts, capacity)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = places.value
-        for batch in batches:
-            length, number = (np.asarray(batch.column(batch.schema.get_field_index(c))).astype(np.int64) for c in ("length", "number"))
-            sequence, offset = of.find(length, number)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in cut.dtypes)
-    return numbered.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("length", "__salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("length", "__salt").orderBy("key", "piece", "ids_crc32")
+    numbered = salted.withColumn("__n", F.row_number().over(within)).join(bases, ["length", "__salt"]).withColumn("__number", F.col("__base") + F.col("__n") - 1)
+    # As many rows as the plan has, which follows the number of lengths; Spark broadcasts it if it is small.
+    places = spark.createDataFrame(plan_rows(bin_plan(counts, capacity)), "__length long, __from long, __to long, __k long, __bin long, __place long")
+    here = (F.col("length") == F.col("__length")) & (F.col("__number") >= F.col("__from")) & (F.col("__number") < F.col("__to"))
+    rest = F.col("__number") - F.col("__from")
+    return numbered.join(places, here).select(
+        *cut.columns, (F.col("__bin") + F.floor(rest / F.col("__k"))).cast("long").alias("sequence_id"), (F.col("__place") + rest % F.col("__k") * F.col("length")).cast("long").alias("offset")
+    )
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
