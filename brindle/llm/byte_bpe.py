@@ -24,6 +24,7 @@ import base64
 import gc
 import hashlib
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -265,6 +266,19 @@ class StreamDecoder:
         return _REPLACED if broken else b""
 
 
+class _Remembered(dict):
+    """Ids of pieces of text, made when first asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.encode(piece.encode("utf-8", "surrogatepass"))
+        if len(piece) <= REMEMBERED:
+            self[piece] = ids
+        return ids
+
+
 class Coder:
     """Encodes whole texts piece by piece and decodes ids again."""
 
@@ -273,21 +287,13 @@ class Coder:
 
         self.fst = Transducer(read_ranks(path))
         self.find = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.known = _Remembered(self.fst.encode)
         self.decoder = StreamDecoder(self.fst.bytes_of)
 
     def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        if len(known) > PIECES:
-            known.clear()
-        for piece in self.find(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.fst.encode(piece.encode("utf-8", "surrogatepass"))
-                if len(piece) <= REMEMBERED:
-                    known[piece] = ids
-            out += ids
-        return out
+        if len(self.known) > PIECES:
+            self.known.clear()
+        return list(chain.from_iterable(map(self.known.__getitem__, self.find(text))))
 
     def decode(self, ids: Sequence[int]) -> bytes:
         return self.decoder.feed(ids) + self.decoder.end()
