@@ -1,41 +1,76 @@
 """Groups of linked items from banded candidates, without pairs inside settled groups.
 
 Items that share a key are candidates. In a bucket, every item is first compared with the
-least and the greatest item only, and the links found make components. What is left is
-compared exhaustively, but only across components: two items of one component need no
-further comparison, as they end in one group whatever they are to each other. So no link
-between components is lost, and a bucket of thousands of copies costs two pairs each.
+least and the greatest item only, and the links found make components. Then, round by
+round, each item outside its bucket's largest component is compared with a few members of
+that component, chosen by a hash; a large group whose members are not all linked with its
+ends closes in a round or two. What is left is compared exhaustively, but only across
+components: two items of one component need no further comparison, as they end in one
+group whatever they are to each other. So no link between components is lost, and a
+bucket of thousands of copies costs a few pairs each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.components import connected_components
 from brindle.sources.tables import saved
 
+#: Members of the largest component that an outsider is compared with in a round.
+SPOKES = 6
+ROUNDS = 2
 
-def linked_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+
+def _pairs(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, c) in buckets that hold more than one component c."""
+    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
+    return saved(placed.join(mixed, "key", "left_semi"), "open")
+
+
+def linked_groups(keys: DataFrame, facts: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) of every item with a link. keys: (key, id), both long.
 
-    verify takes pairs (a, b) with a < b and returns those that are links.
+    facts: id and what `near` looks at, one row per item. near(p, q) is a condition on the
+    columns of two items, prefixed with p and q, that every link meets. verify takes pairs
+    (a, b) with a < b that meet it and returns those that are links.
     """
+    side = lambda c: facts.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in facts.columns if x != "id"])
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(side("a"), "a").join(side("b"), "b").where(near("a_", "b_"))
+        return saved(verify(saved(met.select("a", "b"), "near")), "linked")
+
     leaders = saved(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"), "leaders")
-    members = saved(keys.join(leaders, "key"), "members")
+    members = saved(keys.join(leaders, "key").distinct(), "members")
     ends = members.select("id", F.explode(F.array("lo", "hi")).alias("end")).where("id != end")
-    first = saved(ends.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct(), "pairs")
-    links = saved(verify(first), "linked")
+    links = judged(ends.select(*_pairs("id", "end")).distinct())
     found = saved(connected_components(links), "found")
-    placed = members.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    open_items = saved(placed.join(mixed, "key", "left_semi"), "open")
-    other = open_items.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"))
-    across = open_items.join(other, "key").where("c < c2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-    more = saved(verify(saved(across.join(first, ["a", "b"], "left_anti"), "across")), "linked")
-    if more.isEmpty():
-        return found
-    return saved(connected_components(links.unionByName(more)), "found")
+    members = members.select("key", "id")
+    for turn in range(ROUNDS + 1):
+        members = _open(members.select("key", "id"), found)
+        if turn < ROUNDS:
+            sizes = members.groupBy("key", "c").agg(F.count("*").alias("n"))
+            largest = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+            marked = saved(members.join(largest, "key"), "marked")
+            order = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(turn)))
+            spokes = marked.where("c = main").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SPOKES).select("key", F.col("id").alias("end"))
+            pairs = marked.where("c != main").join(spokes, "key").select(*_pairs("id", "end")).distinct()
+            more = judged(pairs)
+        else:
+            here = members.join(side("id"), "id")
+            there = here.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"), *[F.col(f"id_{x}").alias(f"id2_{x}") for x in facts.columns if x != "id"])
+            across = here.join(there, (here["key"] == there["key"]) & (F.col("c") < F.col("c2")) & near("id_", "id2_"))
+            more = saved(verify(saved(across.select(*_pairs("id", "id2")).distinct(), "across")), "linked")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = saved(connected_components(links), "found")
+    return found

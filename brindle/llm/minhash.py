@@ -160,13 +160,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, key:
     texts = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     most = most_differing(percent)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: lone.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-        differing = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-        near = pairs.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (differing <= most))
-        return confirmed(saved(near.select("a", "b").distinct(), "near"), texts, size, percent)
-
-    found = linked_groups(lone.select(F.explode("bands").alias("key"), F.col("key").alias("id")), verify)
+    def near(p: str, q: str):
+        differing = F.bit_count(F.col(f"{p}s0").bitwiseXOR(F.col(f"{q}s0")))
+        for i in range(1, SKETCH_BITS // 64):
+            differing = differing + F.bit_count(F.col(f"{p}s{i}").bitwiseXOR(F.col(f"{q}s{i}")))
+        sizes = 100 * F.least(f"{p}n", f"{q}n") >= percent * F.greatest(f"{p}n", f"{q}n")
+        return sizes & (differing <= most)
+
+    facts = lone.select(F.col("key").alias("id"), "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)]).dropDuplicates(["id"])
+    keys = lone.select(F.explode("bands").alias("key"), F.col("key").alias("id"))
+    found = linked_groups(keys, saved(facts, "facts"), near, lambda pairs: confirmed(pairs, texts, size, percent))
     of_set = saved(reps.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")), "sets")
     out = signed.select("key", "n", "digest").join(of_set, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("key")).when(F.col("key").isNotNull(), F.col("component"))
