@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces of text whose ids a worker remembers, transitions and pair verdicts it remembers.
-PIECES, STATES, PAIRS = 400_000, 100_000, 300_000
+#: Pieces of text in a generation of a worker's memory, states and pair verdicts it keeps;
+#: together about 500 MB.
+PIECES, STATES, PAIRS = 500_000, 100_000, 300_000
 REMEMBERED = 48
 
 
@@ -46,7 +47,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        # The trie: node -> {byte: node}; the token that ends at a node, or -1.
+        # The trie: node -> {byte: node}; the token that ends at a node and encodes to itself, or -1.
         self.next: list[dict[int, int]] = [{}]
         self.token = [-1]
         for word, rank in ranks.items():
@@ -68,6 +69,7 @@ class Transducer:
             elif len(two := self.merged(word, 2)) == 2 and two[0] + two[1] == word:
                 self.whole.add(rank)
                 self.parts[rank] = ranks[two[0]], ranks[two[1]]
+        self.token = [t if t in self.whole else -1 for t in self.token]
         self.spines: tuple[dict[int, list[int]], dict[int, list[int]]] = {}, {}
         self._reset()
 
@@ -127,8 +129,7 @@ class Transducer:
     def _reset(self):
         """The start: nothing read. A hypothesis is (owed tokens, last token, trie node).
 
-        A state is a dict: its moves by byte, its hypotheses at -1, and at -2 what it owes
-        if the input ends there. States can be in cycles, so they are collected here and
+        A state is a dict: its moves by byte, and its hypotheses at -1. States can be in cycles, so they are collected here and
         nowhere else (coder_for turns the automatic collection off, which would go
         through all states again and again).
         """
@@ -140,7 +141,7 @@ class Transducer:
 
     def _step(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
         after: list[tuple[tuple[int, ...], int, int]] = []
-        trie, token_at, whole, pairs = self.next, self.token, self.whole, self.pairs
+        trie, token_at, pairs = self.next, self.token, self.pairs
         for owed, last, node in state[-1]:
             child = trie[node].get(byte)
             if child is None:
@@ -148,7 +149,7 @@ class Transducer:
             if trie[child]:
                 after.append((owed, last, child))
             token = token_at[child]
-            if token in whole:
+            if token >= 0:
                 may = True if last < 0 else pairs.get(last << 32 | token)
                 if may is None:
                     may = self.goes(last, token)
@@ -176,18 +177,24 @@ class Transducer:
         if len(self.known) > STATES:
             self._reset()
         state, ids = self.start, []
-        for byte in word:
+        if not word:
+            return ids
+        for byte in word[:-1]:
             move = state.get(byte)
             if move is None:
                 move = self._step(state, byte)
             state, out = move
             if out:
                 ids += out
-        owed = state.get(-2)
-        if owed is None:  # of the one hypothesis that has nothing half read
-            owed = state[-2] = next(h[0] for h in state[-1] if h[2] == 0)
-        ids += owed
-        return ids
+        # At the end only the hypothesis counts that finishes a token there; no state is made for it.
+        byte, trie, token_at = word[-1], self.next, self.token
+        for owed, last, node in state[-1]:
+            child = trie[node].get(byte)
+            if child is not None and (token := token_at[child]) >= 0 and (last < 0 or self.goes(last, token)):
+                ids += owed
+                ids.append(token)
+                return ids
+        raise ValueError("bytes that no token covers")
 
 
 def _utf8_step(state: tuple[int, int, int], byte: int) -> tuple[int, int, int] | None:
@@ -267,17 +274,24 @@ class StreamDecoder:
 
 
 class _Remembered(dict):
-    """Ids of pieces of text, made when first asked for."""
+    """Ids of pieces of text, made when first asked for; what a generation never asks for is forgotten."""
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.before = encode, {}
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.encode(piece.encode("utf-8", "surrogatepass"))
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = tuple(self.encode(piece.encode("utf-8", "surrogatepass")))
         if len(piece) <= REMEMBERED:
             self[piece] = ids
         return ids
 
+    def age(self):
+        if len(self) > PIECES:
+            self.before = dict(self)
+            self.clear()
+
 
 class Coder:
     """Encodes whole texts piece by piece and decodes ids again."""
@@ -291,8 +305,7 @@ class Coder:
         self.decoder = StreamDecoder(self.fst.bytes_of)
 
     def encode(self, text: str) -> list[int]:
-        if len(self.known) > PIECES:
-            self.known.clear()
+        self.known.age()
         return list(chain.from_iterable(map(self.known.__getitem__, self.find(text))))
 
     def decode(self, ids: Sequence[int]) -> bytes:
