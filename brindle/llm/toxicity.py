@@ -98,17 +98,18 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> NoisyOr:
     if len(set(y.tolist())) < 2:
         return NoisyOr({}, -50.0)
     words: dict[str, int] = {}
-    owner, nnz_word, nnz_sentence = array("q"), array("q"), array("q")
+    owner, nnz_word, nnz_sentence = array("i"), array("i"), array("i")
     for d, text in enumerate(texts):
         for m in SENTENCE.finditer(text):
             if own := set(WORD.findall(m.group().lower())):
                 nnz_word.extend(words.setdefault(w, len(words)) for w in sorted(own))
                 nnz_sentence.extend([len(owner)] * len(own))
                 owner.append(d)
-    owner, nnz_word, nnz_sentence = (np.array(x, np.int64) for x in (owner, nnz_word, nnz_sentence))
+    owner, nnz_word, nnz_sentence = (np.frombuffer(x, np.int32) if len(x) else np.empty(0, np.int32) for x in (owner, nnz_word, nnz_sentence))
     # What documents have each part of a word, by label; parts that tell the labels apart are learned.
-    pairs = np.unique(np.stack([owner[nnz_sentence], nnz_word]), axis=1)
-    listed, toxic = list(words), y[pairs[0]] == 1
+    listed = list(words)
+    pairs = np.divmod(np.unique(owner[nnz_sentence].astype(np.int64) * max(1, len(words)) + nnz_word), max(1, len(words)))
+    toxic = y[pairs[0]] == 1
     with_part: tuple[Counter, Counter] = Counter(), Counter()
     for of_label, at in zip(with_part, (pairs[1][~toxic], pairs[1][toxic]), strict=True):
         for w, n in zip(*np.unique(at, return_counts=True), strict=True):
