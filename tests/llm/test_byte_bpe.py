@@ -47,10 +47,10 @@ def test_pairs_go_as_merging_says(coder):
 
 
 def test_small_memory_changes_nothing(coder, reference, monkeypatch):
-    for name in ("STATES", "PAIRS", "PIECES"):
-        monkeypatch.setattr(B, name, 50)
+    for name, least in (("STATES", 2000), ("PAIRS", 50), ("PIECES", 50)):
+        monkeypatch.setattr(B, name, least)
     small = B.Coder(PATH, public_tokenizers.PATTERN)
-    for t in list(texts())[100:400]:
+    for t in list(texts())[100:1100]:
         assert small.encode(t) == reference.encode_ordinary(t)
 
 
