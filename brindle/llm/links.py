@@ -22,54 +22,77 @@ from brindle.sources.tables import saved
 
 #: Members of the largest component that an outsider is compared with in a round.
 SPOKES = 6
-ROUNDS = 2
+ROUNDS = 1
+Near = Callable[[str, str], Column]
 
 
 def _pairs(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, id, c) in buckets that hold more than one component c."""
+def with_facts(facts: DataFrame, name: str) -> DataFrame:
+    """`facts` with its id called `name` and the other columns prefixed by it."""
+    return facts.select(F.col("id").alias(name), *[F.col(x).alias(f"{name}_{x}") for x in facts.columns if x != "id"])
+
+
+def bucket_members(keys: DataFrame) -> DataFrame:
+    """(key, id, lo, hi) of every item in a bucket with another; lo and hi are its ends."""
+    leaders = saved(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"), "leaders")
+    return saved(keys.join(leaders, "key").distinct(), "members")
+
+
+def marked_open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, c, main): items in buckets with more than one component c, and the bucket's largest."""
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    return saved(placed.join(mixed, "key", "left_semi"), "open")
+    return marked(saved(placed, "placed"))
+
 
+def marked(placed: DataFrame) -> DataFrame:
+    """The items (key, id, c) of buckets that hold more than one c, with the commonest c as main."""
+    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts"))
+    return saved(placed.join(sizes.where("parts > 1").drop("parts"), "key"), "open")
 
-def linked_groups(keys: DataFrame, facts: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of every item with a link. keys: (key, id), both long.
+
+def across(open_items: DataFrame, facts: DataFrame, near: Near) -> DataFrame:
+    """Pairs (a, b) that share a key, are of different components and meet `near`.
+
+    One of two such items is outside the bucket's largest component, so only those are
+    joined with the bucket.
+    """
+    outside = open_items.where("c != main").select("key", "id", "c").join(with_facts(facts, "id"), "id")
+    there = open_items.select("key", F.col("id").alias("id2"), F.col("c").alias("c2")).join(with_facts(facts, "id2"), "id2").withColumnRenamed("key", "key2")
+    met = outside.join(there, (F.col("key") == F.col("key2")) & (F.col("c") != F.col("c2")) & near("id_", "id2_"))
+    return met.select(*_pairs("id", "id2")).distinct()
+
+
+def linked_groups(
+    members: DataFrame, facts: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """(node, component) of every item with a link. members: what `bucket_members` returns.
 
     facts: id and what `near` looks at, one row per item. near(p, q) is a condition on the
     columns of two items, prefixed with p and q, that every link meets. verify takes pairs
-    (a, b) with a < b that meet it and returns those that are links.
+    (a, b) with a < b that meet it and returns those that are links. rest takes the items
+    still open (key, id, c, main) and returns the pairs to compare at the end, all that can
+    be links across components; without it, those that share a key.
     """
-    side = lambda c: facts.select(F.col("id").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in facts.columns if x != "id"])
 
     def judged(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(side("a"), "a").join(side("b"), "b").where(near("a_", "b_"))
+        met = pairs.join(with_facts(facts, "a"), "a").join(with_facts(facts, "b"), "b").where(near("a_", "b_"))
         return saved(verify(saved(met.select("a", "b"), "near")), "linked")
 
-    leaders = saved(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"), "leaders")
-    members = saved(keys.join(leaders, "key").distinct(), "members")
     ends = members.select("id", F.explode(F.array("lo", "hi")).alias("end")).where("id != end")
     links = judged(ends.select(*_pairs("id", "end")).distinct())
     found = saved(connected_components(links), "found")
-    members = members.select("key", "id")
     for turn in range(ROUNDS + 1):
-        members = _open(members.select("key", "id"), found)
+        members = marked_open(members.select("key", "id"), found)
         if turn < ROUNDS:
-            sizes = members.groupBy("key", "c").agg(F.count("*").alias("n"))
-            largest = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-            marked = saved(members.join(largest, "key"), "marked")
             order = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(turn)))
-            spokes = marked.where("c = main").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SPOKES).select("key", F.col("id").alias("end"))
-            pairs = marked.where("c != main").join(spokes, "key").select(*_pairs("id", "end")).distinct()
-            more = judged(pairs)
+            spokes = members.where("c = main").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SPOKES).select("key", F.col("id").alias("end"))
+            more = judged(members.where("c != main").join(spokes, "key").select(*_pairs("id", "end")).distinct())
         else:
-            here = members.join(side("id"), "id")
-            there = here.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"), *[F.col(f"id_{x}").alias(f"id2_{x}") for x in facts.columns if x != "id"])
-            across = here.join(there, (here["key"] == there["key"]) & (F.col("c") < F.col("c2")) & near("id_", "id2_"))
-            more = saved(verify(saved(across.select(*_pairs("id", "id2")).distinct(), "across")), "linked")
+            pairs = rest(members) if rest else across(members, facts, near)
+            more = saved(verify(saved(pairs, "across")), "linked")
         if not more.isEmpty():
             links = links.unionByName(more)
             found = saved(connected_components(links), "found")

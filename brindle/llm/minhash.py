@@ -7,11 +7,15 @@ same samples are folded into an odd sketch (Mitzenmacher, Pagh & Pham, 2014): a
 whose bits are the parity of the samples that fall on them. The population count of two
 sketches' XOR tells a high similarity precisely, and turns away candidates that are
 clearly below the threshold (five standard deviations); what stays is confirmed on the
-full sets, fetched again from the texts. Equal sets are one item throughout.
+full sets, fetched again from the texts. Equal sets are one item throughout. What is
+still apart after the large groups have closed is compared by an exact set join on rare
+shingles (see prefix_rows and links.py), so a group of thousands makes no pair for each two.
 
 Nulls: a null or empty text has an empty set, is linked with nothing and stays. A null
 doc_id is linked with nothing either and has a null component. Rows that share a doc_id
-are judged each by its own text. An empty table gives no rows. Other columns are ignored.
+belong each to the group of its own text; of different texts that one doc_id would stand
+for, that with the least digest is compared with others. An empty table gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.links import linked_groups
-from brindle.sources.tables import saved
+from brindle.llm.links import across, bucket_members, linked_groups, marked
+from brindle.sources.tables import discard, saved
 
 ROWS, BANDS = 6, 48
 PERMS = ROWS * BANDS
@@ -132,8 +136,6 @@ def signatures(docs: DataFrame, size: int, key: str = "doc_id", text: str = "tex
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity. texts: (key, text)."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = saved(texts.join(needed, "key", "left_semi"), "texts")
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,12 +154,42 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", F.col("ta").cast("string"), F.col("tb").cast("string")).mapInArrow(run, "a long, b long").distinct()
 
 
+def prefix_rows(items: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(key, id, c): the rarest shingles of each item (id, c), of which two linked items share one.
+
+    Similar sets have `percent` of each set in common, so of the shingles in one order, here
+    by how many of the items have them, the first n - ceil(percent * n / 100) + 1 of both
+    have one in common (the prefix filter of set joins). Shingles of one item join nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                some = batch.slice(i, 64)
+                sets = [shingle_set(t.as_py(), size) for t in some.column(2).cast(pa.binary())]
+                n = [len(x) for x in sets]
+                at = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).take(at), some.column(1).take(at), pa.array(np.repeat(n, n).astype(np.int64)), pa.array(np.concatenate(sets).view(np.int64))], names=["id", "c", "n", "key"]
+                )
+
+    own = items.join(texts.withColumnRenamed("key", "id"), "id").select("id", "c", "text").mapInArrow(run, "id long, c long, n long, key long")
+    own = saved(own.distinct(), "shingles")
+    common = own.groupBy("key").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("id", "n").orderBy("df", "key")
+    ranked = own.join(common, "key").withColumn("k", F.row_number().over(order))
+    length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    return ranked.where((F.col("k") <= length) & (F.col("df") > 1)).select("key", "id", "c")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     signed = saved(signatures(docs, size, key, text), "signatures")
-    reps = saved(signed.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("rep")), "reps")
-    lone = saved(signed.where("n > 0").join(reps.select(F.col("rep").alias("key")), "key", "left_semi").select("key", "n", "bands", "sketch"), "items")
-    texts = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    brief = saved(signed.select("key", "n", "digest"), "sets")
+    reps = saved(brief.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("rep")), "reps")
+    stands = reps.groupBy(F.col("rep").alias("key")).agg(F.min("digest").alias("digest"))
+    lone = saved(signed.join(stands, ["key", "digest"], "left_semi").select("key", "n", "bands", "sketch").dropDuplicates(["key"]), "items")
+    discard(signed)
     most = most_differing(percent)
 
     def near(p: str, q: str):
@@ -167,10 +199,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, key:
         sizes = 100 * F.least(f"{p}n", f"{q}n") >= percent * F.greatest(f"{p}n", f"{q}n")
         return sizes & (differing <= most)
 
-    facts = lone.select(F.col("key").alias("id"), "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)]).dropDuplicates(["id"])
-    keys = lone.select(F.explode("bands").alias("key"), F.col("key").alias("id"))
-    found = linked_groups(keys, saved(facts, "facts"), near, lambda pairs: confirmed(pairs, texts, size, percent))
+    members = bucket_members(lone.select(F.explode("bands").alias("key"), F.col("key").alias("id")))
+    # What candidates need later is fetched once: their sketches and their texts.
+    ids = saved(members.select(F.col("id").alias("key")).distinct(), "ids")
+    facts = lone.join(ids, "key", "left_semi")
+    facts = saved(facts.select(F.col("key").alias("id"), "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)]), "facts")
+    discard(lone)
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    texts = saved(texts.join(ids, "key", "left_semi"), "texts")
+
+    def rest(open_items: DataFrame) -> DataFrame:
+        items = saved(open_items.select("id", "c").distinct(), "rest")
+        return across(marked(saved(prefix_rows(items, texts, size, percent), "prefixes")), facts, near)
+
+    found = linked_groups(members, facts, near, lambda pairs: confirmed(pairs, texts, size, percent), rest)
     of_set = saved(reps.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")), "sets")
-    out = signed.select("key", "n", "digest").join(of_set, "digest", "left")
+    out = brief.join(of_set, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("key")).when(F.col("key").isNotNull(), F.col("component"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
