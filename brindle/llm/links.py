@@ -48,7 +48,7 @@ def marked_open(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def marked(placed: DataFrame) -> DataFrame:
-    """The items (key, id, c) of buckets that hold more than one c, with the commonest c as main."""
+    """The items (key, id, c and what else they carry) of buckets that hold more than one c, with the commonest c as main."""
     sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts"))
     return saved(placed.join(sizes.where("parts > 1").drop("parts"), "key"), "open")
 
@@ -57,11 +57,12 @@ def across(open_items: DataFrame, facts: DataFrame, near: Near) -> DataFrame:
     """Pairs (a, b) that share a key, are of different components and meet `near`.
 
     One of two such items is outside the bucket's largest component, so only those are
-    joined with the bucket.
+    joined with the bucket. `near` may also look at columns that the items carry.
     """
-    outside = open_items.where("c != main").select("key", "id", "c").join(with_facts(facts, "id"), "id")
-    there = open_items.select("key", F.col("id").alias("id2"), F.col("c").alias("c2")).join(with_facts(facts, "id2"), "id2").withColumnRenamed("key", "key2")
-    met = outside.join(there, (F.col("key") == F.col("key2")) & (F.col("c") != F.col("c2")) & near("id_", "id2_"))
+    own = [x for x in open_items.columns if x not in ("key", "id", "c", "main")]
+    side = lambda name, df: df.select("key", F.col("id").alias(name), F.col("c").alias(f"{name}_c"), *[F.col(x).alias(f"{name}_{x}") for x in own]).join(with_facts(facts, name), name)
+    outside, there = side("id", open_items.where("c != main")), side("id2", open_items).withColumnRenamed("key", "key2")
+    met = outside.join(there, (F.col("key") == F.col("key2")) & (F.col("id_c") != F.col("id2_c")) & near("id_", "id2_"))
     return met.select(*_pairs("id", "id2")).distinct()
 
 

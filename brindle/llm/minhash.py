@@ -155,11 +155,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def prefix_rows(items: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(key, id, c): the rarest shingles of each item (id, c), of which two linked items share one.
+    """(key, id, c, k): the rarest shingles of each item (id, c), of which two linked items share one.
 
     Similar sets have `percent` of each set in common, so of the shingles in one order, here
     by how many of the items have them, the first n - ceil(percent * n / 100) + 1 of both
-    have one in common (the prefix filter of set joins). Shingles of one item join nothing.
+    have one in common (the prefix filter of set joins). k is the place in that order.
+    Shingles of one item join nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +180,7 @@ def prefix_rows(items: DataFrame, texts: DataFrame, size: int, percent: int) ->
     order = Window.partitionBy("id", "n").orderBy("df", "key")
     ranked = own.join(common, "key").withColumn("k", F.row_number().over(order))
     length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
-    return ranked.where((F.col("k") <= length) & (F.col("df") > 1)).select("key", "id", "c")
+    return ranked.where((F.col("k") <= length) & (F.col("df") > 1)).select("key", "id", "c", "k")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -210,7 +211,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, key:
 
     def rest(open_items: DataFrame) -> DataFrame:
         items = saved(open_items.select("id", "c").distinct(), "rest")
-        return across(marked(saved(prefix_rows(items, texts, size, percent), "prefixes")), facts, near)
+
+        def near_there(p: str, q: str):
+            # Of two sets of these sizes, each has the first shingle in common among its first n - shared + 1.
+            shared = F.floor((percent * (F.col(f"{p}n") + F.col(f"{q}n")) + 99 + percent) / (100 + percent))
+            return (F.col(f"{p}k") <= F.col(f"{p}n") - shared + 1) & (F.col(f"{q}k") <= F.col(f"{q}n") - shared + 1) & near(p, q)
+
+        return across(marked(saved(prefix_rows(items, texts, size, percent), "prefixes")), facts, near_there)
 
     found = linked_groups(members, facts, near, lambda pairs: confirmed(pairs, texts, size, percent), rest)
     of_set = saved(reps.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")), "sets")
