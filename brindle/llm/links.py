@@ -1,6 +1,6 @@
 """Groups of linked items from banded candidates, without pairs inside settled groups.
 
-Items that share a key are candidates. In a bucket, every item is first compared with the
+Items that share a key are candidates. A bucket of two is a pair. In a larger one, every item is first compared with the
 least and the greatest item only, and the links found make components. Then, round by
 round, each item outside its bucket's largest component is compared with a few members of
 that component, chosen by a hash; a large group whose members are not all linked with its
@@ -35,10 +35,12 @@ def with_facts(facts: DataFrame, name: str) -> DataFrame:
     return facts.select(F.col("id").alias(name), *[F.col(x).alias(f"{name}_{x}") for x in facts.columns if x != "id"])
 
 
-def bucket_members(keys: DataFrame) -> DataFrame:
-    """(key, id, lo, hi) of every item in a bucket with another; lo and hi are its ends."""
-    leaders = saved(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"), "leaders")
-    return saved(keys.join(leaders, "key").distinct(), "members")
+def bucket_members(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of buckets of two their pair (a, b); of larger ones (key, id, lo, hi) for every item, lo and hi being the ends."""
+    sizes = saved(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi"), "buckets")
+    pairs = saved(sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct(), "pairs")
+    members = saved(keys.join(sizes.where("n > 2").drop("n"), "key").distinct(), "members")
+    return pairs, members
 
 
 def marked_open(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -67,9 +69,9 @@ def across(open_items: DataFrame, facts: DataFrame, near: Near) -> DataFrame:
 
 
 def linked_groups(
-    members: DataFrame, facts: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame] | None = None
+    pairs: DataFrame, members: DataFrame, facts: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame] | None = None
 ) -> DataFrame:
-    """(node, component) of every item with a link. members: what `bucket_members` returns.
+    """(node, component) of every item with a link. pairs, members: what `bucket_members` returns.
 
     facts: id and what `near` looks at, one row per item. near(p, q) is a condition on the
     columns of two items, prefixed with p and q, that every link meets. verify takes pairs
@@ -83,7 +85,7 @@ def linked_groups(
         return saved(verify(saved(met.select("a", "b"), "near")), "linked")
 
     ends = members.select("id", F.explode(F.array("lo", "hi")).alias("end")).where("id != end")
-    links = judged(ends.select(*_pairs("id", "end")).distinct())
+    links = judged(pairs.unionByName(ends.select(*_pairs("id", "end"))).distinct())
     found = saved(connected_components(links), "found")
     for turn in range(ROUNDS + 1):
         members = marked_open(members.select("key", "id"), found)
@@ -92,8 +94,8 @@ def linked_groups(
             spokes = members.where("c = main").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SPOKES).select("key", F.col("id").alias("end"))
             more = judged(members.where("c != main").join(spokes, "key").select(*_pairs("id", "end")).distinct())
         else:
-            pairs = rest(members) if rest else across(members, facts, near)
-            more = saved(verify(saved(pairs, "across")), "linked")
+            left = rest(members) if rest else across(members, facts, near)
+            more = saved(verify(saved(left, "across")), "linked")
         if not more.isEmpty():
             links = links.unionByName(more)
             found = saved(connected_components(links), "found")

@@ -200,9 +200,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, key:
         sizes = 100 * F.least(f"{p}n", f"{q}n") >= percent * F.greatest(f"{p}n", f"{q}n")
         return sizes & (differing <= most)
 
-    members = bucket_members(lone.select(F.explode("bands").alias("key"), F.col("key").alias("id")))
+    pairs, members = bucket_members(lone.select(F.explode("bands").alias("key"), F.col("key").alias("id")))
     # What candidates need later is fetched once: their sketches and their texts.
-    ids = saved(members.select(F.col("id").alias("key")).distinct(), "ids")
+    ids = saved(members.select(F.col("id").alias("key")).unionByName(pairs.select(F.explode(F.array("a", "b")).alias("key"))).distinct(), "ids")
     facts = lone.join(ids, "key", "left_semi")
     facts = saved(facts.select(F.col("key").alias("id"), "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)]), "facts")
     discard(lone)
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, key:
 
         return across(marked(saved(prefix_rows(items, texts, size, percent), "prefixes")), facts, near_there)
 
-    found = linked_groups(members, facts, near, lambda pairs: confirmed(pairs, texts, size, percent), rest)
+    found = linked_groups(pairs, members, facts, near, lambda some: confirmed(some, texts, size, percent), rest)
     of_set = saved(reps.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")), "sets")
     out = brief.join(of_set, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("key")).when(F.col("key").isNotNull(), F.col("component"))
