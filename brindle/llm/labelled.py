@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,3 +36,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cl
     have = found["y"].value_counts()
     share = {y: (totals[y] / sum(totals.values())) / (n / len(found)) for y, n in have.items()}
     return found.assign(weight=found["y"].map(share).astype(float))
+
+
+def give_back() -> None:
+    """Returns what a fit has freed to the system, where the C library can; else a driver that fits again and again grows."""
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
