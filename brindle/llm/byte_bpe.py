@@ -23,6 +23,8 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
@@ -224,8 +226,9 @@ class StreamDecoder:
 
     def __init__(self, bytes_of: dict[int, bytes]):
         self.bytes_of, self.state, self.held = bytes_of, _START, b""
-        #: Tokens that take the machine from its start to its start without an error.
-        self.closed = {i for i, b in bytes_of.items() if self._lift(_START, i, b"") == (b, _START, b"")}
+        #: Tokens that don't take the machine from its start to its start, or not without an error.
+        self.partial = {i for i, b in bytes_of.items() if self._lift(_START, i, b"") != (b, _START, b"")}
+        self.table = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
         self.lifted: dict[tuple[tuple[int, int, int], int], tuple[bytes, tuple[int, int, int], int]] = {}
 
     def _lift(self, state: tuple[int, int, int], token: int, held: bytes) -> tuple[bytes, tuple[int, int, int], bytes]:
@@ -252,8 +255,8 @@ class StreamDecoder:
 
     def feed(self, ids: Sequence[int]) -> bytes:
         """UTF-8 of the whole characters that are known now."""
-        if self.state is _START and self.closed.issuperset(ids):
-            return b"".join(map(self.bytes_of.__getitem__, ids))
+        if self.state is _START and self.partial.isdisjoint(ids):
+            return b"".join(map(self.table.__getitem__, ids))
         out = []
         for token in ids:
             if self.state is _START and not self.held:
@@ -293,6 +296,18 @@ class _Remembered(dict):
             self.clear()
 
 
+#: Printable ASCII, the usual white space, and Latin letters and signs up to U+017F.
+_PLAIN = "".join(map(chr, (*range(0x20, 0x7F), *range(0xA1, 0x180)))) + "\t\n\r"
+_OTHER = re.compile(f"[^{re.escape(_PLAIN)}]")
+
+
+def plain_pattern(pattern: str) -> re.Pattern | None:
+    """The pattern for plain texts, its letter and number properties written out; None if it has others."""
+    letters, numbers = ("".join(c for c in _PLAIN if unicodedata.category(c)[0] == kind) for kind in "LN")
+    known = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]")
+    return None if r"\p" in known else re.compile(known)
+
+
 class Coder:
     """Encodes whole texts piece by piece and decodes ids again."""
 
@@ -301,12 +316,15 @@ class Coder:
 
         self.fst = Transducer(read_ranks(path))
         self.find = regex.compile(pattern).findall
+        self.plain = plain_pattern(pattern)
         self.known = _Remembered(self.fst.encode)
         self.decoder = StreamDecoder(self.fst.bytes_of)
 
     def encode(self, text: str) -> list[int]:
         self.known.age()
-        return list(chain.from_iterable(map(self.known.__getitem__, self.find(text))))
+        plain = self.plain is not None and _OTHER.search(text) is None
+        pieces = self.plain.findall(text) if plain else self.find(text)
+        return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
 
     def decode(self, ids: Sequence[int]) -> bytes:
         return self.decoder.feed(ids) + self.decoder.end()
@@ -330,7 +348,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_for(path, pattern)
-        decimal = {i: str(i) for i in coder.fst.bytes_of}
+        decimal = list(map(str, range(max(coder.fst.bytes_of) + 1)))
         for batch in batches:
             n, sha, back, all_ids, texts = [], [], [], [], []
             for t in batch.column(1):
