@@ -57,9 +57,10 @@ def test_small_memory_changes_nothing(coder, reference, monkeypatch):
 def test_streamed_decoding_is_whole_characters_and_replaces_errors(coder):
     rng = random.Random(3)
     single = {b[0]: i for b, i in coder.fst.ranks.items() if len(b) == 1}
+    decoder = B.StreamDecoder(coder.fst.bytes_of)
     for _ in range(3000):
         data = bytes(rng.choice((rng.randrange(256), 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x41, 0xC3, 0xA9, 0xED)) for _ in range(rng.randrange(12)))
-        decoder, out = B.StreamDecoder(coder.fst.bytes_of), b""
+        out = b""
         for byte in data:
             part = decoder.feed([single[byte]])
             part.decode()
