@@ -33,14 +33,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/brindle-{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """`df` written to the shared folder as Parquet and read again.
 
     Cuts the lineage and outlives lost executors. The schema is passed on reading,
     so that an empty table keeps its columns.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -55,3 +55,12 @@ def discard(df: DataFrame) -> None:
     """Deletes the files behind a table that `saved` returned and nothing reads any more."""
     for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
         remove(df.sparkSession, f)
+
+
+def release(df: DataFrame) -> None:
+    """Lets Spark's cleaner delete the shuffle files that no table refers to any more.
+
+    The cleaner acts on what the driver's JVM has collected. A job of many small steps never
+    fills that heap, so without this its old shuffles stay on the executors' disks.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
