@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators.components import connected_components
-from brindle.sources.tables import saved
+from brindle.sources.tables import discard, release, saved
 
 #: Members of the largest component that an outsider is compared with in a round.
 SPOKES = 6
@@ -36,17 +36,27 @@ def with_facts(facts: DataFrame, name: str) -> DataFrame:
 
 
 def bucket_members(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of buckets of two their pair (a, b); of larger ones (key, id, lo, hi) for every item, lo and hi being the ends."""
+    """Of buckets of two their pair (a, b); of larger ones (key, id, lo, hi) for every item, lo and hi being the ends.
+
+    keys: key, id and what `near` looks at in `across` besides the facts of an item.
+    """
     sizes = saved(keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi"), "buckets")
+    release(sizes)
     pairs = saved(sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct(), "pairs")
     members = saved(keys.join(sizes.where("n > 2").drop("n"), "key").distinct(), "members")
+    discard(sizes)
+    release(members)
     return pairs, members
 
 
 def marked_open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, id, c, main): items in buckets with more than one component c, and the bucket's largest."""
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    return marked(saved(placed, "placed"))
+    """(key, id, c, main, and what members carry): items in buckets with more than one component c, and the bucket's largest."""
+    carried = [x for x in members.columns if x not in ("key", "id", "c", "main")]
+    placed = members.select("key", "id", *carried).join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"), *carried)
+    placed = saved(placed, "placed")
+    out = marked(placed)
+    discard(placed)
+    return out
 
 
 def marked(placed: DataFrame) -> DataFrame:
@@ -76,27 +86,37 @@ def linked_groups(
     facts: id and what `near` looks at, one row per item. near(p, q) is a condition on the
     columns of two items, prefixed with p and q, that every link meets. verify takes pairs
     (a, b) with a < b that meet it and returns those that are links. rest takes the items
-    still open (key, id, c, main) and returns the pairs to compare at the end, all that can
+    still open (key, id, c, main, and what the members carry) and returns the pairs to compare at the end, all that can
     be links across components; without it, those that share a key.
     """
 
     def judged(pairs: DataFrame) -> DataFrame:
         met = pairs.join(with_facts(facts, "a"), "a").join(with_facts(facts, "b"), "b").where(near("a_", "b_"))
-        return saved(verify(saved(met.select("a", "b"), "near")), "linked")
+        met = saved(met.select("a", "b"), "near")
+        out = saved(verify(met), "linked")
+        discard(met)
+        return out
 
     ends = members.select("id", F.explode(F.array("lo", "hi")).alias("end")).where("id != end")
     links = judged(pairs.unionByName(ends.select(*_pairs("id", "end"))).distinct())
     found = saved(connected_components(links), "found")
     for turn in range(ROUNDS + 1):
-        members = marked_open(members.select("key", "id"), found)
+        before, members = members, marked_open(members.drop("lo", "hi"), found)
+        if turn:
+            discard(before)
         if turn < ROUNDS:
             order = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(turn)))
             spokes = members.where("c = main").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SPOKES).select("key", F.col("id").alias("end"))
             more = judged(members.where("c != main").join(spokes, "key").select(*_pairs("id", "end")).distinct())
         else:
             left = rest(members) if rest else across(members, facts, near)
-            more = saved(verify(saved(left, "across")), "linked")
+            left = saved(left, "across")
+            more = saved(verify(left), "linked")
+            discard(left)
         if not more.isEmpty():
             links = links.unionByName(more)
+            discard(found)
             found = saved(connected_components(links), "found")
+        release(found)
+    discard(members)
     return found
