@@ -4,6 +4,7 @@ import __spark_entry__
 import duckdb
 from brindle.operators.components import connected_components
 from brindle.operators.neighbours import with_neighbours
+from brindle.operators.skew import join_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +52,19 @@ def test_profile_matches_sql(spark):
     con.sql(f"create view documents as select * from '{SF}/documents.parquet'" if not __import__("os").path.isdir(f"{SF}/documents.parquet") else f"create view documents as select * from '{SF}/documents.parquet/*.parquet'")
     assert got == set(con.sql(__spark_entry__.oracle_sql()["documents_profile"]).fetchall())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_large_groups_are_not_shuffled(spark):
+    rows = [(i, 0 if i < 900 else i) for i in range(2000)] + [(5000, None), (5001, 777_777)]
+    sizes = [(0, 900, "large")] + [(i, 1, str(i)) for i in range(900, 2000)]
+    left, right = spark.createDataFrame(rows, "id long, g long"), spark.createDataFrame(sizes, "g long, n long, name string")
+    name = dict((g, x) for g, _, x in sizes)
+    expected = sorted((i, g, name.get(g)) for i, g in rows if g is not None)
+    for how in ("inner", "left"):
+        got = join_groups(left, right, "g", "n", how)
+        assert got.columns == ["id", "g", "name"]
+        found = sorted(tuple(r) for r in got.where("g is not null").collect())
+        assert found == [x for x in expected if how == "left" or x[2] is not None]
+        assert got.where("g is null").count() == (how == "left")
+    assert join_groups(left, right, "g", "n", carry=True).columns == ["id", "g", "n", "name"]
+    assert join_groups(left.limit(0), right.limit(0), "g", "n", "left").count() == 0
