@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.skew import join_groups
 from brindle.sources.tables import saved
 
 #: Digests in a shard, about; a shard is one task's unit of work.
@@ -133,10 +134,11 @@ def dedup_groups(new: DataFrame, archive: DataFrame, shard_digests: int = SHARD_
     """digest, winner, n for every distinct digest of two tables of (key, digest).
 
     Both are grouped first (a partial aggregate, so a digest that a third of the rows
-    share costs one row per task); what a shard holds is distinct and evenly dealt.
+    share costs one row per task); what a shard holds is distinct and evenly dealt, at
+    most about `shard_digests` of either table.
     """
-    old, fresh = saved(_grouped(archive), "archive"), _grouped(new)
-    bits = max(0, math.ceil(math.log2(max(1, old.count() / shard_digests))))
+    old, fresh = saved(_grouped(archive), "archive"), saved(_grouped(new), "fresh")
+    bits = max(0, math.ceil(math.log2(max(1, old.count() / shard_digests, fresh.count() / shard_digests))))
     shard = lambda df: df.withColumn("shard", F.shiftright(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32 - bits) if bits else F.lit(0).cast("long"))
 
     def merged(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -161,7 +163,7 @@ def exact_dedup(new: DataFrame, archive: DataFrame, key: str = "doc_id", text: s
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of both tables."""
     digests = saved(text_digests(archive, key, text).withColumn("old", F.lit(True)).unionByName(text_digests(new, key, text).withColumn("old", F.lit(False))), "digests")
     groups = saved(dedup_groups(digests.where("not old"), digests.where("old")), "groups")
-    joined = digests.join(groups, "digest")
+    joined = join_groups(digests.drop("old"), groups, "digest", "n", carry=True)
     return joined.select(
         F.col("key").alias(key), F.col("winner").alias("keep_id"), F.col("n").alias("group_size"),
         F.col("key").eqNullSafe(F.col("winner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
@@ -169,13 +171,8 @@ def exact_dedup(new: DataFrame, archive: DataFrame, key: str = "doc_id", text: s
 
 
 def dedup_table(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One table deduped in full: the half with the larger ids is the archive, the rest arrives.
-
-    The half is found from the least and the largest id; a table without ids is all new.
-    """
-    low, high = docs.agg(F.min(key), F.max(key)).first()
-    cut = 0 if low is None else (low + high) // 2
-    old = F.coalesce(F.col(key) > cut, F.lit(False))
+    """One table deduped in full: half of it, by a hash of the id, is the archive, the rest arrives."""
+    old = F.pmod(F.xxhash64(key), F.lit(2)) == 1
     return exact_dedup(docs.where(~old), docs.where(old), key)
 
 

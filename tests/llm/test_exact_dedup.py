@@ -53,3 +53,16 @@ def test_null_ids_and_empty_tables(documents):
     assert found == [(False, 4, True), (False, 4, True), (True, 4, False)]
     lone = D.dedup_table(documents([(None, None)])).first()
     assert lone.keep_id is None and lone.kept and lone.group_size == 1
+
+
+def test_shards_follow_all_rows_whatever_the_ids(documents, sql, same, monkeypatch):
+    monkeypatch.setattr(D, "SHARD_DIGESTS", 64)
+    seen = []
+    whole = D.dedup_groups
+    monkeypatch.setattr(D, "dedup_groups", lambda new, archive: (seen.append((new.count(), archive.count())), whole(new, archive, 64))[1])
+    rows = [(i, f"text {i % 900}") for i in range(1500)] + [(10**15, "far away")]
+    docs = documents(rows)
+    assert same(D.dedup_table(docs), sql(D.DEDUP_SQL, documents=docs))
+    assert min(seen[0]) > 500  # one far id does not empty the archive
+    nobody = D.dedup_table(documents([(None, f"text {i % 900}") for i in range(1500)])).collect()
+    assert len(nobody) == 1500 and all(r.kept and r.keep_id is None for r in nobody) and 0 in seen[1]
