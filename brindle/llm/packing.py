@@ -21,6 +21,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ END_ID = 1
 #: Words whose ids a worker remembers, before it starts anew, and of which length at most.
 MEMORY = 250_000
 REMEMBERED = 64
+#: Pieces of one length that a task numbers, about.
+SALTED = 100_000
 _SPACE = " \t\n\r"
 #: Characters for which the tokenizer's normaliser and splitter are known to be what is
 #: done here: printable ASCII and the Latin letters and signs up to U+017F, but for one
@@ -66,17 +69,20 @@ class WordEncoder:
 
     White space parts words and is dropped, so a text is encoded word by word. Words of
     plain characters are merged by the vocabulary's ranks; any chunk with another
-    character goes through the tokenizer itself.
+    character, or with one of the tokenizer's special strings, goes through the tokenizer itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, definition: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        model = json.loads(self.tokenizer.to_str())["model"]
+        self.tokenizer = Tokenizer.from_buffer(definition)
+        made = json.loads(definition)
+        model, special = made["model"], made.get("added_tokens") or []
+        if any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] or _CHUNK.fullmatch(x["content"]) is None for x in special):
+            raise ValueError("special strings that depend on what is around them are not supported")
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in special) or "(?!)")
         end = model["end_of_word_suffix"]
         byte_of = {c: b for b, c in _byte_letters().items()}
         ranks = {}
@@ -92,11 +98,12 @@ class WordEncoder:
         """The ids as little-endian unsigned 32-bit numbers."""
         if len(self.words) > MEMORY:
             self.words.clear()
-        if _OTHER.search(text) is None:
+        special = self.special.search
+        if _OTHER.search(text) is None and special(text) is None:
             return b"".join(map(self.words.__getitem__, _WORD.findall(text.lower())))
         out = []
         for chunk in _CHUNK.findall(text):
-            if _OTHER.search(chunk) is None:
+            if _OTHER.search(chunk) is None and special(chunk) is None:
                 out += map(self.words.__getitem__, _WORD.findall(chunk.lower()))
             else:
                 out.append(np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
@@ -110,24 +117,29 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[int, WordEncoder] = {}
 
 
-def encoder_for(path: str) -> WordEncoder:
+def encoder_for(definition: bytes) -> WordEncoder:
     """This worker's encoder; tasks that follow find it warm."""
-    if path not in _encoders:
+    name = zlib.crc32(definition)
+    if name not in _encoders:
         _encoders.clear()
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+        _encoders[name] = WordEncoder(definition)
+    return _encoders[name]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """key, piece, start, length, ids_crc32 of every piece of every document, and its ids if asked for."""
+    """key, piece, start, length, ids_crc32 of every piece of every document, and its ids if asked for.
+
+    The tokenizer's file is read on the driver and its bytes, which do not grow with the data, are sent.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
     kind = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder_for(tokenizer)
+        encode = encoder_for(sent.value)
         for batch in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for r, t in enumerate(batch.column(1)):
@@ -223,13 +235,16 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of `cut` (saved; with key, piece, length) with sequence_id and offset.
 
     Pieces of one length are dealt to salts, counted, and numbered within a salt from
-    what the salts before it hold, so no task sees all pieces of a length.
+    what the salts before it hold, so no task sees all pieces of a length. A length has a salt
+    for every SALTED pieces, by its own count.
     """
     spark = cut.sparkSession
-    salted = cut.withColumn("__salt", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(64 if cut.count() < 10_000_000 else 4096)))
+    by_length = saved(cut.groupBy("length").agg(F.count("*").alias("__all")), "lengths")
+    salts = F.floor(F.col("__all") / SALTED) + 1
+    salted = cut.join(F.broadcast(by_length), "length").withColumn("__salt", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), salts)).drop("__all")
     sizes = saved(salted.groupBy("length", "__salt").agg(F.count("*").alias("n")), "sizes")
-    # At most `capacity` rows come to the driver.
-    counts = {r.length: r.n for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    # At most `capacity` rows come to the driver, as many as are broadcast.
+    counts = {r["length"]: r["__all"] for r in by_length.collect()}
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "__salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
     within = Window.partitionBy("length", "__salt").orderBy("key", "piece", "ids_crc32")
