@@ -3,7 +3,7 @@
 An ARC file starts with a version block, whose second line says which version's fields
 the header line of every record has; each header ends in the length of what follows. The
 converter reads records by declared length and makes the WARC equivalents: an identifier
-from the archive's name and the record's offset, a timestamp from the 14 digits, a type
+from the name in the version block and the record's offset, a timestamp from the 14 digits, a type
 from the scheme and content, and SHA-1 digests of block and payload. Of records with
 equal payloads of at least `least_bytes` bytes one is a response, that with the largest
 document id (then the largest identifier); the others become revisits of it, which keep
@@ -154,6 +154,12 @@ def read_arc(data: bytes) -> Iterator[ArcRecord]:
         yield ArcRecord(offset, fields, block)
 
 
+def archive_name(data: bytes) -> str:
+    """The name that the version block of an ARC file gives it."""
+    line = Stream(data).line() or b""
+    return line.split(b" ")[0].removeprefix(b"filedesc:").strip(b"/").decode("utf-8", "replace")
+
+
 def split_http(url: str, block: bytes) -> tuple[bytes, bytes]:
     """The HTTP head of a block (empty for other schemes) and its payload."""
     if url.startswith(("http:", "https:", "unknown:")) and block.startswith(b"HTTP/") and (i := block.find(b"\r\n\r\n")) >= 0:
@@ -214,13 +220,17 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _equivalents(path: str, content: bytes) -> Iterator[dict]:
-    """What the WARC equivalent of each record of an ARC file needs."""
-    archive = path.rpartition("/")[2]
+    """What the WARC equivalent of each record of an ARC file needs.
+
+    Identifiers come from the name in the archive's version block, so a file that is moved or
+    written again keeps them; archives of one data set need names of their own.
+    """
+    archive, name = path.rpartition("/")[2], archive_name(content)
     for r in read_arc(content):
         url = r.fields["URL"]
         head, payload = split_http(url, r.block)
         yield {
-            "archive": archive, "record_id": record_id(archive, r.offset), "doc_id": _doc_id(head), "kind": "response" if head else "resource", "url": url,
+            "archive": archive, "record_id": record_id(name or archive, r.offset), "doc_id": _doc_id(head), "kind": "response" if head else "resource", "url": url,
             "ip": r.fields["IP-address"], "date": warc_date(r.fields["Archive-date"]), "content_type": r.fields["Content-type"], "head": head, "payload": payload,
             "payload_digest": base32_sha1(payload), "payload_bytes": len(payload),
         }
@@ -361,9 +371,23 @@ def archived_pages(pages: DataFrame, least_bytes: int = 0, key: str = "page_id")
     write_arc(pages, arc, key)
     convert(spark, arc, warc, least_bytes)
     read = saved(warc_records(spark, warc, payloads=False).drop("payload"), "read")
-    targets = read.where("record_type != 'revisit'").join(read.where("refers_to_id is not null").select(F.col("refers_to_id").alias("record_id")).distinct(), "record_id", "left_semi")
+    named = lambda df: df.select(F.col("doc_id").alias(key), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url")
+    whole = read.where("record_type != 'revisit'").withColumn("record_type", F.lit("response"))
+    # Only revisits are joined, with the records that some revisit refers to.
+    revisits = read.where("record_type = 'revisit'")
+    targets = whole.join(revisits.select(F.col("refers_to_id").alias("record_id")).distinct(), "record_id", "left_semi")
     targets = saved(targets.select(F.col("record_id").alias("refers_to_id"), F.col("doc_id").alias("refers_to")), "targets")
-    kind = F.when(F.col("record_type") == "revisit", "revisit").otherwise("response")
-    return read.join(targets, "refers_to_id", "left").select(
-        F.col("doc_id").alias(key), "payload_bytes", "payload_digest", kind.alias("record_type"), "refers_to", "record_id", "url"
-    )
+    return named(whole.withColumn("refers_to", F.lit(None).cast("long"))).unionByName(named(revisits.join(targets, "refers_to_id", "left")))
+
+
+#: DuckDB SQL of the contract's columns: pages with distinct ids, base 32 in groups of five hexadecimal digits.
+PAGES_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+d AS (SELECT page_id, t, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS best FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(1 + ((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
+FROM d
+"""

@@ -39,6 +39,17 @@ def test_pages_come_back(spark):
         assert len({r.record_id for r in found}) == len(rows)
 
 
+def test_identifiers_follow_the_archive_not_its_file(spark):
+    rows = [(k, "http://h", f"text {k % 3}") for k in range(30)]
+    ids = []
+    for _ in range(2):
+        path = new_path(spark, "arc")
+        A.write_arc(frame(spark, rows).repartition(3, "page_id"), path)
+        ids.append({r.record_id for r in A.arc_records(spark, path).collect()})
+    assert ids[0] == ids[1] and len(ids[0]) == 30
+    assert A.archive_name(A.version_block(2, "f.arc", "1999")) == "f.arc"
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, "http://x", "t"), (4, "http://x", "t"), (4, "http://x", "t"), (5, "http://y", "u"), (5, "http://y", "u")]
     found = A.archived_pages(frame(spark, rows)).collect()
