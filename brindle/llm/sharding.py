@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.sources.tables import saved
@@ -84,10 +84,17 @@ def extendible_shards(docs: DataFrame, key: str = "doc_id", text: str = "text",
     paged = rows.where(F.col("bytes") > limit)
     if open_rows is not None and low == BITS:
         paged = paged.unionByName(open_rows)
-    # Rows of one key and size are counted, not gathered, and dealt to pages by number.
+    # Rows of one key and size get numbers, part of the table by part, and go to pages by number.
     fit = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("bytes", F.lit(1)))).cast("long")
-    counted = paged.groupBy("key", "bytes", "h").agg(F.count("*").alias("n")).withColumn("fit", fit)
-    each = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    same, none = ["key", "bytes", "h"], F.lit(0).cast("long")
+    paged = saved(paged.withColumn("part", F.spark_partition_id()), "paged")
+    counted = paged.groupBy(*same, "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.select(*same, "part", F.coalesce(F.sum("n").over(before), none).alias("base"), F.sum("n").over(Window.partitionBy(*same)).alias("n"))
+    numbered = paged.withColumn("i", F.row_number().over(Window.partitionBy(*same, "part").orderBy("bytes")))
+    alike = [numbered[x].eqNullSafe(counted[x]) for x in (*same, "part")]
+    each = numbered.join(counted, alike[0] & alike[1] & alike[2] & alike[3]).select(*[numbered[x] for x in same], "n", (F.col("base") + F.col("i") - 1).alias("i"))
+    each = each.withColumn("fit", fit)
     in_page = F.least(F.col("fit"), F.col("n") - F.floor(F.col("i") / F.col("fit")) * F.col("fit"))
     pages = each.select(
         "key", "bytes", F.concat_ws("-", F.lit("p"), F.col("h"), F.md5(F.coalesce(F.col("key").cast("string"), F.lit("null"))), F.col("bytes"), F.floor(F.col("i") / F.col("fit"))).alias("shard_id"),
@@ -99,6 +106,16 @@ def extendible_shards(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return out.withColumnRenamed("key", key)
 
 
+def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> None:
+    """The rows of `docs`, all columns, as Parquet under `path`, a folder for each shard (shard_id=...).
+
+    Keys have to be distinct: a repeated key would not say which page its row is on.
+    """
+    shards = extendible_shards(docs, key, text, limit).select(F.col(key).alias("__shard_key"), "shard_id")
+    placed = docs.drop("shard_id").join(shards, F.col(key).eqNullSafe(F.col("__shard_key"))).drop("__shard_key")
+    placed.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+
+
 def shards_sql(limit: int = SHARD_BYTES) -> str:
     """DuckDB SQL for distinct keys: every prefix of every length is summed, and the leaves are looked up."""
     return f"""

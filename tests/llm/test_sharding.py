@@ -2,7 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from brindle.llm.sharding import extendible_shards, shards_sql
+from brindle.llm.sharding import extendible_shards, shards_sql, write_shards
 
 
 @pytest.mark.parametrize("limit", [400, 3000, 10**9])
@@ -42,3 +42,21 @@ def test_repeated_key_and_oversize(documents):
 def test_empty(documents):
     assert extendible_shards(documents([])).count() == 0
     assert extendible_shards(documents([(None, None)])).collect()[0].shard_bytes == 0
+
+
+def test_null_keys_by_the_thousand(documents):
+    rows = [(None, "x" * 10)] * 3000 + [(i, "y" * 10) for i in range(500)]
+    found = extendible_shards(documents(rows).repartition(7), limit=200).collect()
+    check(found, 200, len(rows))
+    assert len({r.shard_id for r in found if r.doc_id is None}) == 150
+
+
+def test_shards_are_written(spark, documents, tmp_path):
+    docs = documents([(i, "z" * (i % 90)) for i in range(400)] + [(None, "n")])
+    write_shards(docs, f"{tmp_path}/shards", limit=2000)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert {(r.doc_id, r.text, r.key) for r in back.collect()} == {(r.doc_id, r.text, r.key) for r in docs.collect()}
+    sizes = defaultdict(int)
+    for r in back.collect():
+        sizes[r.shard_id] += len(r.text)
+    assert len(sizes) > 5 and max(sizes.values()) <= 2000
