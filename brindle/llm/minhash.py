@@ -224,3 +224,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, key:
     out = brief.join(of_set, "digest", "left")
     component = F.when(F.col("n") == 0, F.col("key")).when(F.col("key").isNotNull(), F.col("component"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates_sql(size: int = 2, percent: int = PERCENT) -> str:
+    """DuckDB SQL for distinct doc_ids: all pairs that share a shingle, links on whole sets, components by reaching out."""
+    shingle = "array_to_string(ws[i : i + {}], ' ')".format(size - 1)
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, {shingle} AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {size - 2}, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= {percent} * (nx.n + ny.n - c)),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT x AS doc_id, y AS other FROM b UNION SELECT r.doc_id, b.y FROM r JOIN b ON b.x = r.other),
+g AS (SELECT doc_id, min(other) AS least FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(g.least, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(g.least, doc_id)) AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
+"""

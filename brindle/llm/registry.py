@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from brindle.llm import archives, byte_bpe, exact_dedup, fingerprints, line_dedup, minhash, packing, quality, sharding, toxicity
 from brindle.sources.tables import table
 
+#: Bytes of text in a shard of the query, small enough that every data set of ours has several depths.
+SHARD_BYTES = 1 << 18
+
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.extendible_shards(table(spark, sf_dir, "documents"))
+    return sharding.extendible_shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +32,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archives.archived_pages(table(spark, sf_dir, "pages"))
+    out = archives.archived_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +68,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_sharding": sharding.shards_sql(),
+        "op1_sharding": sharding.shards_sql(SHARD_BYTES),
+        "op2_minhash": minhash.near_duplicates_sql(),
         "op4_fingerprints": fingerprints.fingerprints_sql(),
+        "op5_archives": archives.PAGES_SQL,
         "op8_exact_dedup": exact_dedup.DEDUP_SQL,
     }
