@@ -23,6 +23,8 @@ from brindle.sources.tables import discard, release, saved
 #: Members of the largest component that an outsider is compared with in a round.
 SPOKES = 6
 ROUNDS = 1
+#: Pairs that an item has verified in a round where distances are given.
+NEAREST = 2
 Near = Callable[[str, str], Column]
 
 
@@ -79,7 +81,7 @@ def across(open_items: DataFrame, facts: DataFrame, near: Near) -> DataFrame:
 
 
 def linked_groups(
-    pairs: DataFrame, members: DataFrame, facts: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame] | None = None
+    pairs: DataFrame, members: DataFrame, facts: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame] | None = None, distance: Near | None = None
 ) -> DataFrame:
     """(node, component) of every item with a link. pairs, members: what `bucket_members` returns.
 
@@ -87,18 +89,23 @@ def linked_groups(
     columns of two items, prefixed with p and q, that every link meets. verify takes pairs
     (a, b) with a < b that meet it and returns those that are links. rest takes the items
     still open (key, id, c, main, and what the members carry) and returns the pairs to compare at the end, all that can
-    be links across components; without it, those that share a key.
+    be links across components; without it, those that share a key. distance(p, q): with it, of the pairs
+    met before that an item takes only the NEAREST to verify; what that leaves apart is compared at the end.
     """
 
     def judged(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(with_facts(facts, "a"), "a").join(with_facts(facts, "b"), "b").where(near("a_", "b_"))
-        met = saved(met.select("a", "b"), "near")
+        """The links among pairs (x, y); x is the item that has met y."""
+        met = pairs.join(with_facts(facts, "x"), "x").join(with_facts(facts, "y"), "y").where(near("x_", "y_"))
+        if distance is not None:
+            order = Window.partitionBy("x").orderBy(distance("x_", "y_"), "y")
+            met = met.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= NEAREST)
+        met = saved(met.select(*_pairs("x", "y")).distinct(), "near")
         out = saved(verify(met), "linked")
         discard(met)
         return out
 
     ends = members.select("id", F.explode(F.array("lo", "hi")).alias("end")).where("id != end")
-    links = judged(pairs.unionByName(ends.select(*_pairs("id", "end"))).distinct())
+    links = judged(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")).unionByName(ends.select(F.col("id").alias("x"), F.col("end").alias("y"))).distinct())
     found = saved(connected_components(links), "found")
     for turn in range(ROUNDS + 1):
         before, members = members, marked_open(members.drop("lo", "hi"), found)
@@ -107,7 +114,7 @@ def linked_groups(
         if turn < ROUNDS:
             order = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(turn)))
             spokes = members.where("c = main").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SPOKES).select("key", F.col("id").alias("end"))
-            more = judged(members.where("c != main").join(spokes, "key").select(*_pairs("id", "end")).distinct())
+            more = judged(members.where("c != main").join(spokes, "key").select(F.col("id").alias("x"), F.col("end").alias("y")).distinct())
         else:
             left = rest(members) if rest else across(members, facts, near)
             left = saved(left, "across")
