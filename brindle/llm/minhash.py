@@ -13,9 +13,8 @@ shingles (see prefix_rows and links.py), so a group of thousands makes no pair f
 
 Nulls: a null or empty text has an empty set, is linked with nothing and stays. A null
 doc_id is linked with nothing either and has a null component. Rows that share a doc_id
-belong each to the group of its own text; of different texts that one doc_id would stand
-for, that with the least digest is compared with others. An empty table gives no rows.
-Other columns are ignored.
+belong each to the group of its own text. An empty table gives no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.links import across, bucket_members, linked_groups, marked
-from brindle.sources.tables import discard, saved
+from brindle.operators.skew import join_groups
+from brindle.sources.tables import discard, release, saved
 
 ROWS, BANDS = 6, 48
 PERMS = ROWS * BANDS
@@ -108,8 +108,13 @@ def most_differing(percent: int = PERCENT) -> int:
     return math.ceil(mean + 5 * spread)
 
 
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text and mark, a hash of the text that tells rows of one key apart."""
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("mark"))
+
+
 def signatures(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n, digest, bands, sketch (as longs) of every row; digest is the whole set's."""
+    """key, mark, n, digest, bands, sketch (as longs) of every row; digest is the whole set's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,12 +131,11 @@ def signatures(docs: DataFrame, size: int, key: str = "doc_id", text: str = "tex
                     bands.append(None)
                     sketches.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["key", "n", "digest", "bands", "sketch"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["key", "mark", "n", "digest", "bands", "sketch"],
             )
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "key long, n long, digest binary, bands array<long>, sketch array<long>")
+    return _rows(docs, key, text).mapInArrow(run, "key long, mark long, n long, digest binary, bands array<long>, sketch array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -187,9 +191,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, key:
     """doc_id, n_shingles, component_id, kept for every row."""
     signed = saved(signatures(docs, size, key, text), "signatures")
     brief = saved(signed.select("key", "n", "digest"), "sets")
-    reps = saved(brief.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("rep")), "reps")
-    stands = reps.groupBy(F.col("rep").alias("key")).agg(F.min("digest").alias("digest"))
-    lone = saved(signed.join(stands, ["key", "digest"], "left_semi").select("key", "n", "bands", "sketch").dropDuplicates(["key"]), "items")
+    # Every distinct set is an item with a number of its own; rep is the least doc_id that has it.
+    sets = brief.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("size"))
+    sets = saved(sets.withColumn("id", F.monotonically_increasing_id()), "reps")
+    items = signed.join(sets.select("digest", F.col("rep").alias("key"), "id"), ["key", "digest"])
+    lone = saved(items.select("id", "key", "mark", "n", "bands", "sketch").dropDuplicates(["id"]), "items")
     discard(signed)
     most = most_differing(percent)
 
@@ -200,14 +206,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, key:
         sizes = 100 * F.least(f"{p}n", f"{q}n") >= percent * F.greatest(f"{p}n", f"{q}n")
         return sizes & (differing <= most)
 
-    pairs, members = bucket_members(lone.select(F.explode("bands").alias("key"), F.col("key").alias("id")))
+    pairs, members = bucket_members(lone.select(F.explode("bands").alias("key"), "id"))
     # What candidates need later is fetched once: their sketches and their texts.
-    ids = saved(members.select(F.col("id").alias("key")).unionByName(pairs.select(F.explode(F.array("a", "b")).alias("key"))).distinct(), "ids")
-    facts = lone.join(ids, "key", "left_semi")
-    facts = saved(facts.select(F.col("key").alias("id"), "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)]), "facts")
-    discard(lone)
-    texts = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    texts = saved(texts.join(ids, "key", "left_semi"), "texts")
+    ids = saved(members.select("id").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("id"))).distinct(), "ids")
+    facts = lone.join(ids, "id", "left_semi")
+    facts = saved(facts.select("id", "key", "mark", "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)]), "facts")
+    for x in (lone, ids):
+        discard(x)
+    wanted = facts.select("key", "mark", "id")
+    facts = facts.drop("key", "mark")
+    texts = _rows(docs, key, text).withColumn("text", F.coalesce("text", F.lit(""))).join(wanted, ["key", "mark"]).select(F.col("id").alias("key"), "text")
+    texts = saved(texts, "texts")
+    release(texts)
 
     def rest(open_items: DataFrame) -> DataFrame:
         items = saved(open_items.select("id", "c").distinct(), "rest")
@@ -220,8 +230,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, key:
         return across(marked(saved(prefix_rows(items, texts, size, percent), "prefixes")), facts, near_there)
 
     found = linked_groups(pairs, members, facts, near, lambda some: confirmed(some, texts, size, percent), rest)
-    of_set = saved(reps.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component")), "sets")
-    out = brief.join(of_set, "digest", "left")
+    for x in (pairs, members, texts):
+        discard(x)
+    # The name of a component is the least doc_id of its sets.
+    numbered = found.join(sets.select(F.col("id").alias("node"), "rep"), "node")
+    least = numbered.groupBy("component").agg(F.min("rep").alias("least"))
+    named = found.join(least, "component").select(F.col("node").alias("id"), "least")
+    of_set = saved(sets.join(named, "id", "left").select("digest", "size", F.coalesce("least", "rep").alias("component")), "sets")
+    release(of_set)
+    out = join_groups(brief, of_set, "digest", "size", "left")
     component = F.when(F.col("n") == 0, F.col("key")).when(F.col("key").isNotNull(), F.col("component"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
