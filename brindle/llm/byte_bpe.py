@@ -25,8 +25,10 @@ import gc
 import hashlib
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator, Sequence
 from itertools import chain
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,9 +40,9 @@ PIECES, STATES, PAIRS = 500_000, 100_000, 300_000
 REMEMBERED = 48
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+def read_ranks(lines: bytes) -> dict[bytes, int]:
+    """The ranks of a rank file, given its bytes."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
 
 
 class Transducer:
@@ -132,7 +134,7 @@ class Transducer:
         """The start: nothing read. A hypothesis is (owed tokens, last token, trie node).
 
         A state is a dict: its moves by byte, and its hypotheses at -1. States can be in cycles, so they are collected here and
-        nowhere else (coder_for turns the automatic collection off, which would go
+        nowhere else (a task turns the automatic collection off, which would go
         through all states again and again).
         """
         start = (((), -1, 0),)
@@ -311,10 +313,10 @@ def plain_pattern(pattern: str) -> re.Pattern | None:
 class Coder:
     """Encodes whole texts piece by piece and decodes ids again."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, ranks: bytes, pattern: str):
         import regex
 
-        self.fst = Transducer(read_ranks(path))
+        self.fst = Transducer(read_ranks(ranks))
         self.find = regex.compile(pattern).findall
         self.plain = plain_pattern(pattern)
         self.known = _Remembered(self.fst.encode)
@@ -330,24 +332,35 @@ class Coder:
         return self.decoder.feed(ids) + self.decoder.end()
 
 
-_coders: dict[tuple[str, str], Coder] = {}
+_coders: dict[tuple[int, str], Coder] = {}
 
 
-def coder_for(path: str, pattern: str) -> Coder:
+def coder_for(ranks: bytes, pattern: str) -> Coder:
     """This worker's coder; tasks that follow find it warm."""
-    if (path, pattern) not in _coders:
+    name = zlib.crc32(ranks), pattern
+    if name not in _coders:
         _coders.clear()
-        _coders[path, pattern] = Coder(path, pattern)
-        gc.disable()
-    return _coders[path, pattern]
+        _coders[name] = Coder(ranks, pattern)
+    return _coders[name]
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256 and (if asked for) ids and the decoded text of every row."""
+    """key, n_tokens, ids_sha256, decoded_sha256 and (if asked for) ids and the decoded text of every row.
+
+    The rank file is read on the driver and its bytes, which do not grow with the data, are sent.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
     kind = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_for(path, pattern)
+        gc.disable()  # while this task runs
+        try:
+            yield from coded(batches)
+        finally:
+            gc.enable()
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = coder_for(sent.value, pattern)
         decimal = list(map(str, range(max(coder.fst.bytes_of) + 1)))
         for batch in batches:
             n, sha, back, all_ids, texts = [], [], [], [], []

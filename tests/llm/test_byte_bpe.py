@@ -1,5 +1,6 @@
 import hashlib
 import random
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -11,7 +12,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 @pytest.fixture(scope="module")
 def coder():
-    return B.Coder(PATH, public_tokenizers.PATTERN)
+    return B.Coder(Path(PATH).read_bytes(), public_tokenizers.PATTERN)
 
 
 @pytest.fixture(scope="module")
@@ -49,7 +50,7 @@ def test_pairs_go_as_merging_says(coder):
 def test_small_memory_changes_nothing(coder, reference, monkeypatch):
     for name, least in (("STATES", 2000), ("PAIRS", 50), ("PIECES", 50)):
         monkeypatch.setattr(B, name, least)
-    small = B.Coder(PATH, public_tokenizers.PATTERN)
+    small = B.Coder(Path(PATH).read_bytes(), public_tokenizers.PATTERN)
     for t in list(texts())[100:1100]:
         assert small.encode(t) == reference.encode_ordinary(t)
 
