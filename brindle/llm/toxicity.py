@@ -3,8 +3,10 @@
 A sentence's probability is the logistic of a bias and the weights of its distinct words;
 a word's weight is that of the word itself and of its first 3 to 7 letters, so that
 inflected forms share what was learned. A document's probability is the noisy-or of its
-sentences, 1 - prod(1 - p). The weights maximise the likelihood of the document labels
-through that noisy-or; no sentence is ever labelled. Scoring then gives the document's
+sentences, 1 - prod(1 - p), in which of the sentences below FLOOR only the likeliest counts,
+else a text of some thousand clean sentences would be toxic by its length alone. The weights
+maximise the likelihood of the document labels through the noisy-or of all sentences; no
+sentence is ever labelled. Scoring then gives the document's
 probability and the sentences that are toxic by themselves.
 
 The model is fitted on at most 2 * PER_CLASS labelled documents of at most MOST_CHARS
@@ -46,6 +48,9 @@ MEMORY = 300_000
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 FOLDS = 5
+#: Probability of a sentence below which it does not add up with others.
+FLOOR = 0.01
+_FLOOR = math.log(FLOOR / (1 - FLOOR))
 
 
 def parts(word: str) -> list[str]:
@@ -81,16 +86,19 @@ class NoisyOr:
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's probability, and (start, end, probability) of each toxic sentence."""
-        kept, found, word = 0.0, [], self.word  # kept: log of the probability that no sentence is toxic
+        kept, faint, found, word = 0.0, -math.inf, [], self.word  # kept: log of the probability that no sentence is toxic
         for m in SENTENCE.finditer(text):
             words = set(WORD.findall(m.group().lower()))
             if not words:
                 continue
             s = self.bias + sum(map(word, words))
+            if s < _FLOOR:
+                faint = max(faint, s)
+                continue
             kept -= math.log1p(math.exp(s)) if s < 30 else s
             if s >= 0:
                 found.append((*m.span(), 1 / (1 + math.exp(-s))))
-        return -math.expm1(kept), found
+        return -math.expm1(kept - math.log1p(math.exp(faint))), found
 
 
 def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> NoisyOr:

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -58,6 +60,41 @@ def test_sentences_are_located_and_one_is_enough():
     assert model.score("") == (0.0, [])
 
 
+def test_scores_against_plain_recomputation():
+    rows = toy()
+    model = T.fit([t for _, t, _ in rows], np.array([y for *_, y in rows]), np.ones(len(rows)))
+    for t in [*(t for _, t, _ in rows), "", "!!!", "Vilewoa VILEWOB. vilewoc! bala\n\nbala", "bala " * 5000]:
+        each = []
+        for sentence in re.split(r"[.!?\n]", t):
+            words = set(re.findall(r"\w+", sentence.lower()))
+            logit = model.bias + sum(model.weights.get(x, 0) for w in words for x in [w, *(f"{w[:n]}~" for n in range(3, 8) if len(w) > n)])
+            if words:
+                each.append(1 / (1 + math.exp(-logit)))
+        none = math.prod(1 - p for p in each if p >= 0.01) * (1 - max([p for p in each if p < 0.01], default=0))
+        assert abs(model.score(t)[0] - (1 - none)) < 1e-9
+    model = Q.fit([t.upper() if y else t for _, t, y in rows], np.array([1 - y for *_, y in rows]), np.ones(len(rows)))
+    for t in [*(t for _, t, _ in rows[:100]), "", "??", "A a a a 9 9 x_ BALA"]:
+        tokens = re.findall(r"\w+|[^\w\s]+", t)
+        grams = {*tokens, *((a, b) for a, b in zip(tokens, tokens[1:]))}  # noqa: B905
+        shapes = ["=" if i and x == tokens[i - 1] else Q.shape(x) for i, x in enumerate(tokens)]
+        runs = [tuple(shapes[i : i + 3]) for i in range(len(tokens) - 2)]
+        grams |= {*runs, *((*r, int(math.log2(runs.count(r) / len(tokens)))) for r in runs)}
+        z = model.slope * (model.bias + sum(model.weights.get(g, 0) for g in grams)) + model.shift
+        assert abs(model.score(t) - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_long_clean_texts_stay(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = T.fit_tables(docs, labels, fold("doc_id", 5) != 0)
+    held = docs.join(labels.where("toxic = 0"), "doc_id").where((fold("doc_id", 5) == 0) & (F.col("lang") == "en")).orderBy("doc_id").select("text").limit(400).collect()
+    clean = [r.text for r in held if r.text and model.score(r.text)[0] < 0.02]
+    long = "\n".join(clean * (1 + 20_000 // sum(len(T.sentences(t)) for t in clean)))
+    assert len(clean) > 350 and len(T.sentences(long)) > 20_000 and model.score(long)[0] < 0.5
+    rows = docs.where(F.length("text") > T.MOST_CHARS).join(labels, "doc_id").select("text", "toxic").collect()  # none was learned from
+    right = [(model.score(r.text)[0] >= 0.5) == (r.toxic == 1) for r in rows]
+    assert len(right) > 20 and np.mean(right) > 0.9
+
+
 def test_dual_coordinate_descent_against_subgradients():
     rng = np.random.default_rng(2)
     rows = [np.flatnonzero(rng.random(12) < 0.4) for _ in range(60)]
