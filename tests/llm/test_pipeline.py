@@ -1,10 +1,11 @@
 import random
-from collections import defaultdict
+import re
 
 import __spark_entry__
 import corpus_pipeline
 from brindle.llm import quality, toxicity
 from brindle.llm.labelled import sample
+from brindle.sources.tables import saved
 from pyspark.sql import functions as F
 
 from tests.llm.test_line_dedup import brute as without_lines
@@ -54,10 +55,12 @@ def test_stages_against_brute_force(spark, tmp_path):
             expected = {k: t for k, t in before.items() if (score(t) < 0.5) == (name == "toxicity")}
             assert 0 < len(expected) < len(before)
         elif name == "line_dedup":
-            expected = without_lines(list(before.items()))
-            assert expected != before
-        else:
-            expected = {k: before[k] for k, _, _, kept in near_groups(list(before.items()), 5) if kept}
+            lines = without_lines(list(before.items()))
+            expected = {k: t for k, t in lines.items() if t == before[k] or re.search(r"[^\W_]", t)}
+            assert lines != before and len(expected) < len(before)
+        else:  # by the texts before lines went
+            first = read(spark.read.parquet(f"{sf}/documents.parquet"))
+            expected = {k: before[k] for k, _, _, kept in near_groups([(k, first[k]) for k in before], 5) if kept}
         assert after == expected, name
         docs = spark.read.parquet(f"{sf}/{name}")
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
@@ -68,18 +71,39 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert brief(whole) == brief(last)
 
 
-def test_near_copies_meet_after_lines_are_gone(spark, tmp_path):
-    pieces = defaultdict(list)
-    base = [WORDS[i % len(WORDS)] + str(i) for i in range(300)]
-    rows = [(k, " ".join(base[:k] + ["odd"] + base[k + 1 :]), "en", "s", 1) for k in (5, 90, 170, 250)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for r in corpus_pipeline.one_of_each(spark, docs, "").collect():
-        pieces[r.doc_id].append(r.text)
-    assert list(pieces) == [5]
+def test_near_copies_go_after_their_lines_went(spark, tmp_path):
+    rng = random.Random(12)
+    line = lambda: " ".join(rng.choice(WORDS) + rng.choice("abcdefgh") for _ in range(12))
+    base = [line() for _ in range(40)]
+    rows = [(7, "\n".join(base))]
+    for k in (20, 30, 40):  # near copies: a line of their own each
+        rows.append((k, "\n".join([*base[:k], line(), *base[k:]])))
+    rows += [(50, "\n".join(line() for _ in range(40))), (60, "\n".join(base)), (70, None), (71, ""), (None, "\n".join(base))]
+    full = [(k, t, "en", "s", None if t is None else len(t)) for k, t in rows]
+    spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    lined = saved(corpus_pipeline.without_repeated_lines(spark, docs, str(tmp_path)), "lined")
+    left = {r.doc_id: r.text for r in lined.collect()}
+    assert set(left) == {7, 20, 30, 40, 50, 70, 71, None}  # the exact copy has no line left
+    assert all(left[k].count("\n") == 0 for k in (20, 30, 40))
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, lined, str(tmp_path)).collect()} == {7, 50, 70, 71, None}
+
+
+def test_stages_take_nulls_repeats_and_other_columns(spark, tmp_path):
+    rows = [(None, None), (None, "words of nobody"), (4, "words of four here"), (4, "words of four here"), (5, ""), (6, "é")]
+    full = [(k, t, None, None, None, "x", "y", "z") for k, t in rows]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, kept string, __id string, dropped_lines string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == list(corpus_pipeline.COLUMNS) and out.count() == 6, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 6
 
 
 def test_stages_take_empty_tables(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
