@@ -33,15 +33,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/brindle-{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own switch: what a query has shuffled goes when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """`df` written to the shared folder as Parquet and read again.
 
-    Cuts the lineage and outlives lost executors. The schema is passed on reading,
-    so that an empty table keeps its columns.
+    Cuts the lineage and outlives lost executors. The shuffle files of the write go when it is
+    done; otherwise they stay until the driver's JVM happens to collect their handles, which
+    a job of many small steps hardly ever makes it do. The schema is passed on reading, so that
+    an empty table keeps its columns.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -56,11 +68,3 @@ def discard(df: DataFrame) -> None:
     for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
         remove(df.sparkSession, f)
 
-
-def release(df: DataFrame) -> None:
-    """Lets Spark's cleaner delete the shuffle files that no table refers to any more.
-
-    The cleaner acts on what the driver's JVM has collected. A job of many small steps never
-    fills that heap, so without this its old shuffles stay on the executors' disks.
-    """
-    df.sparkSession.sparkContext._jvm.System.gc()

@@ -1,10 +1,14 @@
+import os
 import random
+import time
 
 import __spark_entry__
 import duckdb
 from brindle.operators.components import connected_components
 from brindle.operators.neighbours import with_neighbours
 from brindle.operators.skew import join_groups
+from brindle.sources.tables import CLEANUP, discard, saved
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,6 +58,19 @@ def test_profile_matches_sql(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
+def test_saved_leaves_no_shuffle_files(spark):
+    def files():
+        jvm = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+        return sum(len(names) for d in jvm.blockManager().diskBlockManager().localDirs() for _, _, names in os.walk(d.getPath()))
+
+    before, setting = files(), spark.conf.get(CLEANUP, "false")
+    counted = saved(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "counted")
+    time.sleep(1)
+    assert counted.count() == 100 and spark.conf.get(CLEANUP, "false") == setting
+    assert files() <= before + 4  # the count's own
+    discard(counted)
+
+
 def test_large_groups_are_not_shuffled(spark):
     rows = [(i, 0 if i < 900 else i) for i in range(2000)] + [(5000, None), (5001, 777_777)]
     sizes = [(0, 900, "large")] + [(i, 1, str(i)) for i in range(900, 2000)]
