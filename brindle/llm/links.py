@@ -23,8 +23,8 @@ from brindle.sources.tables import discard, saved
 #: Members of the largest component that an outsider is compared with in a round.
 SPOKES = 6
 ROUNDS = 1
-#: Pairs that an item has verified in a round where distances are given.
-NEAREST = 2
+#: Pairs that an item has verified in a round where distances are given, and the rounds then.
+NEAREST, NEAR_ROUNDS = 1, 2
 Near = Callable[[str, str], Column]
 
 
@@ -88,15 +88,18 @@ def linked_groups(
     (a, b) with a < b that meet it and returns those that are links. rest takes the items
     still open (key, id, c, main, and what the members carry) and returns the pairs to compare at the end, all that can
     be links across components; without it, those that share a key. distance(p, q): with it, of the pairs
-    met before that an item takes only the NEAREST to verify; what that leaves apart is compared at the end.
+    met before that an item takes only the NEAREST and the one with the least other end to verify; what that
+    leaves apart is compared at the end.
     """
 
     def judged(pairs: DataFrame) -> DataFrame:
         """The links among pairs (x, y); x is the item that has met y."""
         met = pairs.join(with_facts(facts, "x"), "x").join(with_facts(facts, "y"), "y").where(near("x_", "y_"))
         if distance is not None:
-            order = Window.partitionBy("x").orderBy(distance("x_", "y_"), "y")
-            met = met.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= NEAREST)
+            # The nearest ones, and the least, which most of a group have in common.
+            own = Window.partitionBy("x")
+            met = met.select("x", "y", F.row_number().over(own.orderBy(distance("x_", "y_"), "y")).alias("k"), F.min("y").over(own).alias("least"))
+            met = met.where((F.col("k") <= NEAREST) | (F.col("y") == F.col("least")))
         met = saved(met.select(*_pairs("x", "y")).distinct(), "near")
         out = saved(verify(met), "linked")
         discard(met)
@@ -105,11 +108,12 @@ def linked_groups(
     ends = members.select("id", F.explode(F.array("lo", "hi")).alias("end")).where("id != end")
     links = judged(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")).unionByName(ends.select(F.col("id").alias("x"), F.col("end").alias("y"))).distinct())
     found = saved(connected_components(links), "found")
-    for turn in range(ROUNDS + 1):
+    rounds = ROUNDS if distance is None else NEAR_ROUNDS
+    for turn in range(rounds + 1):
         before, members = members, marked_open(members.drop("lo", "hi"), found)
         if turn:
             discard(before)
-        if turn < ROUNDS:
+        if turn < rounds:
             order = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(turn)))
             spokes = members.where("c = main").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SPOKES).select("key", F.col("id").alias("end"))
             more = judged(members.where("c != main").join(spokes, "key").select(F.col("id").alias("x"), F.col("end").alias("y")).distinct())
