@@ -187,9 +187,12 @@ def prefix_rows(items: DataFrame, texts: DataFrame, size: int, percent: int) ->
     return ranked.where((F.col("k") <= length) & (F.col("df") > 1)).select("key", "id", "c", "k")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    signed = saved(signatures(docs, size, key, text), "signatures")
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "doc_id", text: str = "text", among: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; with `among`, only for rows with a key in that table, compared among themselves."""
+    signed = signatures(docs, size, key, text)
+    if among is not None:
+        signed = signed.join(among.select(F.col(key).cast("long").alias("key")).distinct(), "key", "left_semi")
+    signed = saved(signed, "signatures")
     brief = saved(signed.select("key", "n", "digest"), "sets")
     # Every distinct set is an item with a number of its own; rep is the least doc_id that has it.
     sets = brief.where("n > 0 and key is not null").groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("size"))
