@@ -12,7 +12,7 @@ from brindle.llm import archives, byte_bpe, exact_dedup, fingerprints, line_dedu
 from brindle.sources.tables import table
 
 #: Bytes of text in a shard of the query, small enough that every data set of ours has several depths.
-SHARD_BYTES = 1 << 18
+SHARD_BYTES = 1 << 17
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
