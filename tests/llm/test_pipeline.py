@@ -30,7 +30,7 @@ def fixture(spark, path):
         rows.append((i, "\n".join(lines)))
         labels.append((i, int(good), int(toxic)))
     rows += [(300 + i, t.replace("\n", " ")) for i, t in rng.sample(rows, 40)]
-    rows += [(400 + i, t) for i, t in rng.sample(rows[:260], 25)]
+    rows += [(1000 + i, t) for i, t in rng.sample(rows[:260], 25)]
     rows += [(900, None), (901, ""), (902, "\n"), (903, "é " * 9000)]
     full = [(k, t, "en", "src", None if t is None else len(t)) for k, t in rows]
     spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
