@@ -9,7 +9,12 @@ from brindle.sources.tables import table
 
 
 def documents_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, characters and words by source and language: one scan, one partial aggregate."""
+    """Rows, characters and words by source and language: one scan, one partial aggregate.
+
+    A null or empty text counts as a row without characters; null sources and languages are
+    groups of their own; repeated rows count each. An empty table gives no rows. Other
+    columns are ignored.
+    """
     words = F.size(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0)))
     return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(
         F.count("*").alias("n_docs"),

@@ -58,6 +58,17 @@ def test_profile_matches_sql(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
+def test_profile_of_nulls_and_nothing(spark, tmp_path):
+    rows = [(None, None, None), (None, None, ""), ("s", "en", " a  b\tc\n"), ("s", "en", "é"), ("s", "en", "é")]
+    schema = "source string, lang string, text string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/some/documents.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    profile = __spark_entry__.queries()["documents_profile"]
+    got = {tuple(r) for r in profile(spark, f"{tmp_path}/some").select("source", "lang", "n_docs", "n_chars", "n_words").collect()}
+    assert got == {(None, None, 2, 0, 0), ("s", "en", 3, 10, 5)}
+    assert profile(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_saved_leaves_no_shuffle_files(spark):
     def files():
         jvm = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
