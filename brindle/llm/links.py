@@ -100,10 +100,15 @@ def linked_groups(
             own = Window.partitionBy("x")
             met = met.select("x", "y", F.row_number().over(own.orderBy(distance("x_", "y_"), "y")).alias("k"), F.min("y").over(own).alias("least"))
             met = met.where((F.col("k") <= NEAREST) | (F.col("y") == F.col("least")))
-        met = saved(met.select(*_pairs("x", "y")).distinct(), "near")
-        out = saved(verify(met), "linked")
-        discard(met)
-        return out
+        return verified(met.select(*_pairs("x", "y")).distinct(), "near")
+
+    done: list[DataFrame] = []  # what has been verified, link or not
+
+    def verified(met: DataFrame, name: str) -> DataFrame:
+        for before in done:
+            met = met.join(before, ["a", "b"], "left_anti")
+        done.append(saved(met, name))
+        return saved(verify(done[-1]), "linked")
 
     ends = members.select("id", F.explode(F.array("lo", "hi")).alias("end")).where("id != end")
     links = judged(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")).unionByName(ends.select(F.col("id").alias("x"), F.col("end").alias("y"))).distinct())
@@ -119,12 +124,11 @@ def linked_groups(
             more = judged(members.where("c != main").join(spokes, "key").select(F.col("id").alias("x"), F.col("end").alias("y")).distinct())
         else:
             left = rest(members) if rest else across(members, facts, near)
-            left = saved(left, "across")
-            more = saved(verify(left), "linked")
-            discard(left)
+            more = verified(left, "across")
         if not more.isEmpty():
             links = links.unionByName(more)
             discard(found)
             found = saved(connected_components(links), "found")
-    discard(members)
+    for x in (members, *done):
+        discard(x)
     return found
