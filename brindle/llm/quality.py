@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.labelled import fold, give_back, sample
+from brindle.llm.labelled import fitted, fold
 
 PER_CLASS = 4000
 MOST_CHARS = 20_000
@@ -182,13 +182,7 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray) -> Model:
 
 def fit_tables(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality") -> Model:
     """The model from a bounded sample of the labels for which `learn` holds."""
-    rows = sample(docs, labels, label, learn, PER_CLASS, MOST_CHARS)
-    texts, y, weight = rows["text"].tolist(), rows["y"].to_numpy(), rows["weight"].to_numpy()
-    del rows
-    model = fit(texts, y, weight)
-    del texts
-    give_back()
-    return model
+    return fitted(fit, docs, labels, label, learn, PER_CLASS, MOST_CHARS)
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

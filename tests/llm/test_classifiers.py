@@ -133,3 +133,23 @@ def test_sample_is_bounded_and_repeatable(spark, documents):
     a = sample(docs, labels, "quality", fold("doc_id", 3) != 1, 10, 80)
     assert len(a) <= 20 and a["text"].str.len().max() <= 80 and a.equals(sample(docs, labels, "quality", fold("doc_id", 3) != 1, 10, 80))
     assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i in a["id"])
+
+
+@pytest.mark.parametrize("module,label", [(T, "toxic"), (Q, "quality")])
+def test_fits_leave_the_driver_alone(spark, documents, monkeypatch, module, label):
+    rows = toy()
+    docs = documents([(k, t) for k, t, _ in rows])
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], f"doc_id long, {label} int")
+    s = sample(docs, labels, label, F.lit(True), module.PER_CLASS, module.MOST_CHARS)
+    here = module.fit(s["text"].tolist(), s["y"].to_numpy(), s["weight"].to_numpy())
+
+    def refused(*_):
+        raise AssertionError("a fit in the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "toPandas", refused)
+        m.setattr(np, "bincount", refused)
+        model = module.fit_tables(docs, labels, F.lit(True), label)
+    assert model.weights == here.weights and model.bias == here.bias and len(model.weights) > 0
+    none = module.fit_tables(docs.where("false"), labels, F.lit(True), label)
+    assert none.weights == {}
